@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +24,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verseline.llm.telephony import read_audio, store_text_audio
+
+    return read_audio(store_text_audio(table(spark, sf_dir, "documents")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.near_dedup import near_duplicates
 
@@ -57,6 +64,14 @@ FROM parts p LEFT JOIN (SELECT DISTINCT page_id, rule, verdict FROM hits WHERE p
 """
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verseline.llm.secrets import count_of, joined, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    counts = {f"n_{k}": count_of("spans", k) for k in ("assign", "access", "hex")}
+    return found.withColumns({**counts, "base_sha256": F.sha2(joined("spans", base_only=True), 256)}).withColumn("spans", joined("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.token_counts import count_tokens
 
@@ -65,8 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_telephony": op1_telephony,
         "op2_near_dedup": op2_near_dedup,
         "op5_url_filter": op5_url_filter,
+        "op9_secret_ownership": op9_secret_ownership,
         "op10_token_counts": op10_token_counts,
     }
 
