@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,6 +35,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verseline.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_telephony": op1_telephony,
         "op2_near_dedup": op2_near_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_url_filter": op5_url_filter,
         "op9_secret_ownership": op9_secret_ownership,
         "op10_token_counts": op10_token_counts,
