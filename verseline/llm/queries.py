@@ -69,6 +69,16 @@ FROM parts p LEFT JOIN (SELECT DISTINCT page_id, rule, verdict FROM hits WHERE p
 """
 
 
+def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from verseline.llm.suffix_match import contamination, is_contaminated
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.secrets import count_of, joined, scan_secrets
 
@@ -89,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_url_filter": op5_url_filter,
+        "op6_suffix_decontamination": op6_suffix_decontamination,
         "op9_secret_ownership": op9_secret_ownership,
         "op10_token_counts": op10_token_counts,
     }
