@@ -79,6 +79,17 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from verseline.llm.line_crf import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.secrets import count_of, joined, scan_secrets
 
@@ -100,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_url_filter": op5_url_filter,
         "op6_suffix_decontamination": op6_suffix_decontamination,
+        "op7_line_crf_quality": op7_line_crf_quality,
         "op9_secret_ownership": op9_secret_ownership,
         "op10_token_counts": op10_token_counts,
     }
