@@ -35,6 +35,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op3_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verseline.llm.mincut_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.packing import pack
 
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_telephony": op1_telephony,
         "op2_near_dedup": op2_near_dedup,
+        "op3_mincut_html": op3_mincut_html,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_url_filter": op5_url_filter,
         "op6_suffix_decontamination": op6_suffix_decontamination,
