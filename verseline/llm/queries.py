@@ -96,6 +96,19 @@ def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
 
 
+#: the key is a parameter of production runs; any secret string does
+PII_KEY = "verseline-surrogates-1"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from verseline.llm.pii_surrogates import replace_entities
+
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.secrets import count_of, joined, scan_secrets
 
@@ -119,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_suffix_decontamination": op6_suffix_decontamination,
         "op7_line_crf_quality": op7_line_crf_quality,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_secret_ownership": op9_secret_ownership,
         "op10_token_counts": op10_token_counts,
     }
