@@ -281,6 +281,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, n_lines long")
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores ``threshold`` or more; columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(at))
+            for lo, hi in slices(offsets):
+                features, size, _, _, bounds = line_features(data, offsets[lo : hi + 1])
+                yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.scores(features, size, bounds) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per line with a word: doc_id, line (from 0), start (bytes), p_good, good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

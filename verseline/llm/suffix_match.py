@@ -245,28 +245,42 @@ def _mark(shared, size: int):
                 old = old or []
                 all_spans.append(_merge(spans.get(i, []) + list(zip(old[::2], old[1::2]))))
                 all_names.append(sorted(names.get(i, set()) | set(known or [])))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_names, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"]
-            )
+            columns = [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_names, pa.list_(pa.string())), *(rows.column(i) for i in range(5, rows.num_columns))]
+            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
     return run
 
 
+def _marked(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, keep: bool) -> DataFrame:
+    spark = docs.sparkSession
+    blocks = load_items(bench, item_col, item_text_col) or [Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [])]
+    base = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items")]
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    if keep and rest:
+        base.append(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
+    out = docs.select(*base)
+    for block in blocks:
+        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(block), size), out.schema)
+    return out.withColumn("n_hit", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"]))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, spans (word ranges, flat), items (names, sorted as text).
 
-    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  A window is ``size`` consecutive words of an item, or
-    all words of a shorter item.  Null and empty texts have no words; null or
-    empty items no window; a null item id reads as "".
+    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
+    lower-cased.  A window is ``size`` consecutive words of an item, or all words
+    of a shorter item.  Null and empty texts have no words; null or empty items
+    no window; a null item id reads as "".
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    blocks = load_items(bench, item_col, item_text_col) or [Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [])]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for block in blocks:
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(block), size), f"doc_id {kind}, text string, n_words long, spans array<long>, items array<string>")
-    hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
+    out = _marked(docs, bench, id_col, text_col, item_col, item_text_col, size, False)
+    return out.select("doc_id", "n_words", "n_hit", "spans", "items")
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
+    """docs without its contaminated rows; columns as they were."""
+    out = _marked(docs, bench, id_col, text_col, item_col, item_text_col, size, True).where(~is_contaminated())
+    place = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return out.select(*(place.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
