@@ -137,8 +137,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             at = 0
             for part in text_parts([t or "" for t in batch.column(2).to_pylist()]):
                 row, piece, length, crc, ids = [], [], [], [], []
-                for i, raw in enumerate(encoder.many(part), at):
-                    raw += end
+                found, bounds = encoder.ids(part)
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), at):
+                    raw = found[a:b].tobytes() + end
                     for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
                         one = raw[lo : lo + 4 * capacity]
                         row.append(i)
