@@ -37,8 +37,9 @@ SSN = f"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}"
 PHONE = f"(?<![A-Za-z0-9+(])(?:[+][0-9]{{1,3}}(?:[ .-]?[(][0-9]{{1,4}}[)])?(?:[ .-]?[0-9]{{2,4}}){{2,5}}|[(][0-9]{{3}}[)] ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_END}"
 PERSON = f"(?<![\\p{{L}}-])(?:{MALE}|{FEMALE})[.]? (?:{_LATIN_NAME}(?: {_LATIN_NAME})?|{_CYRILLIC_NAME}(?: {_CYRILLIC_NAME})?)"
 ANY = "|".join((EMAIL, IP4, IP6, IBAN, CARD, SSN, PHONE, PERSON))
-#: what every match holds; it is far cheaper to look for
-SIGN = f"[0-9]{{2}}|@|[0-9][.][0-9]|::|(?:{MALE}|{FEMALE})[.]? [A-ZÀ-ÖØ-ÞА-ЯЁ]"
+#: what every match holds: it is far cheaper to look for a pair of digits, a sign or a title as plain text
+SIGN = "[0-9]{2}|@|[0-9][.][0-9]|::"
+TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr", "г-", "господин", "госпожа")
 
 _CONSONANTS, _VOWELS = "bcdfghklmnprstvz", "aeiouaeioaeuaioe"
 _SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re".split(), "cyrillic": "ба бо ва ве га го да де жа зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре са се та то".split()}
@@ -148,22 +149,38 @@ def _iban_check(iban: Column) -> Column:
     return F.lpad((98 - F.aggregate(chars(turned), F.lit(0).cast("long"), add)).cast("string"), 2, "0")
 
 
-def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
-    """A keyed replacement of the same kind and shape as the normalised entity."""
+def surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """(kind, norm, value): a keyed replacement of the same kind and shape for each normalised entity.
+
+    What lambdas use - hash streams, drafts without check digits - are columns
+    of their own steps, so they are computed once per entity and not once per
+    character.
+    """
+    kind, norm, stream = F.col("kind"), F.col("norm"), F.col("stream")
 
     def hashed(*what: Column) -> Column:
-        one = F.sha2(F.concat_ws("|", F.lit(key), *what), 256)
-        return F.concat(one, F.sha2(F.concat(one, F.lit(key)), 256))
+        return F.sha2(F.concat_ws("|", F.lit(key), *what), 256)
 
-    stream = hashed(kind, norm, F.lit(str(attempt)))
-    domain = F.substring_index(norm, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_reshaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), _reshaped(host, hashed(F.lit("domain"), host)), top)
+    at = F.substring_index(norm, "@", -1)
+    top = F.substring_index(at, ".", -1)
+    step = entities.select("kind", "norm").withColumns({"half": hashed(kind, norm, F.lit(str(attempt))), "host": F.when(kind == "email", F.substr(at, F.lit(1), F.length(at) - F.length(top)))})
+    step = step.withColumns({"stream": F.concat("half", F.sha2(F.concat("half", F.lit(key)), 256)), "host_stream": F.when(kind == "email", hashed(F.lit("domain"), F.col("host")))})
 
     def number(i: int) -> Column:
         return _nibble(stream, F.lit(2 * i + 1)) * 16 + _nibble(stream, F.lit(2 * i + 2))
 
+    def filled(text: Column, fixed: Column) -> Column:
+        """Digits beyond the first ``fixed`` characters replaced; the first of them is 2 to 9."""
+        one = lambda c, i: F.when((i < fixed) | ~c.rlike("[0-9]"), c).when(i == fixed, (_nibble(stream, i + 1) % 8 + 2).cast("string")).otherwise(_digit(stream, i + 1))
+        return F.array_join(F.transform(chars(text), one), "")
+
+    bank = F.concat(F.substr(norm, F.lit(1), F.lit(4)), F.array_join(F.transform(chars(F.substr(norm, F.lit(5))), lambda c, i: F.when(c.rlike("[0-9]"), _digit(stream, i + 1)).otherwise(F.chr(65 + (_nibble(stream, i + 1) * 16 + _nibble(stream, i + 30)) % 26))), ""))
+    draft = F.when(kind == "card", filled(norm, F.lit(1))).when(kind == "iban", bank)
+    step = step.withColumns({"draft": draft, "valid": F.when(kind == "card", _luhn(norm) == F.substr(norm, F.length(norm)).cast("int"))})
+    body = F.col("draft")
+    step = step.withColumn("check", F.when(kind == "card", _luhn(body).cast("string")).when(kind == "iban", _iban_check(body)))
+
+    email = F.concat(_reshaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), _reshaped(F.col("host"), F.col("host_stream")), top)
     octets = F.split(norm, "[.]")
     tail = [number(i).cast("string") for i in (1, 2)] + [(number(3) % 254 + 1).cast("string")]
     ip4 = (
@@ -172,19 +189,11 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
         .otherwise(F.concat_ws(".", (number(0) % 112 + 11).cast("string"), *tail))
     )
     ip6 = F.array_join(F.transform(chars(norm), lambda c, i: F.when(c == ":", c).otherwise(F.substr(stream, i % 128 + 1, F.lit(1)))), "")
-
-    def filled(text: Column, fixed: Column) -> Column:
-        """Digits beyond the first ``fixed`` characters replaced; the first of them is 2 to 9."""
-        one = lambda c, i: F.when((i < fixed) | ~c.rlike("[0-9]"), c).when(i == fixed, (_nibble(stream, i + 1) % 8 + 2).cast("string")).otherwise(_digit(stream, i + 1))
-        return F.array_join(F.transform(chars(text), one), "")
-
     phone = filled(norm, F.when(norm.startswith("+"), F.instr(norm, ".")).otherwise(0))
-    body = filled(norm, F.lit(1))
-    valid = _luhn(norm) == F.substr(norm, F.length(norm)).cast("int")
-    check = F.when(valid, _luhn(body)).otherwise((_luhn(body) + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
-    card = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), check.cast("string"))
-    bank = F.concat(F.substr(norm, F.lit(1), F.lit(4)), F.array_join(F.transform(chars(F.substr(norm, F.lit(5))), lambda c, i: F.when(c.rlike("[0-9]"), _digit(stream, i + 1)).otherwise(F.chr(65 + (_nibble(stream, i + 1) * 16 + _nibble(stream, i + 30)) % 26))), ""))
-    iban = F.concat(F.substr(bank, F.lit(1), F.lit(2)), _iban_check(bank), F.substr(bank, F.lit(5)))
+    check = F.col("check").cast("int")
+    last = F.when(F.col("valid"), check).otherwise((check + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
+    card = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), last.cast("string"))
+    iban = F.concat(F.substr(body, F.lit(1), F.lit(2)), F.col("check"), F.substr(body, F.lit(5)))
 
     def name(part: str, script: str) -> Column:
         # every second attempt is a syllable longer, so there are always unused names
@@ -195,7 +204,11 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     for part in ("m", "f", "s"):
         for script in ("latin", "cyrillic"):
             out = out.when(kind == f"{part}:{script}", name(part, script))
-    return out.otherwise(filled(norm, F.lit(0)))
+    return step.withColumn("value", out.otherwise(filled(norm, F.lit(0)))).select("kind", "norm", "value")
+
+
+#: entities that a task makes surrogates for
+EACH = 20_000
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -204,7 +217,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     taken = base.select("kind", F.col("norm").alias("value"))
     waiting, accepted = base, None
     for attempt in range(MAX_ATTEMPTS):
-        drawn = waiting.withColumn("value", surrogate(F.col("kind"), F.col("norm"), key, attempt))
+        drawn = surrogates(waiting.repartition(1 + waiting.count() // EACH), key, attempt)
         won = materialize(drawn.join(taken, ["kind", "value"], "left_anti").groupBy("kind", "value").agg(F.min("norm").alias("norm")), "surrogates")
         accepted = won if accepted is None else accepted.unionByName(won)
         waiting = materialize(waiting.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "colliding")
@@ -214,19 +227,19 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def _in_shape(match: Column, values: Column) -> Column:
-    """A match with its units' surrogates in the shape it is written in; values: map from kind|norm."""
-    value = lambda u: F.element_at(values, F.concat(u["kind"], F.lit("|"), u["norm"]))
-    found = units(match)
-    kind = kind_of(match)
-    one = value(F.element_at(found, 1))
+def _in_shape(found: Column) -> Column:
+    """An entity's surrogate in the shape the entity is written in; found: struct of match, kind, values, one, digits."""
+    match, kind, one = found["match"], found["kind"], found["one"]
     cased = F.array_join(F.transform(chars(match), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")
-    fresh_digits = digits(one)
-    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substr(fresh_digits, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i")))
-    filled = F.aggregate(chars(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, lambda s: s["out"])
-    blanks = F.aggregate(chars(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), lambda s, c: F.when(c == " ", F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["out"], F.substr(one, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))), lambda s: s["out"])
-    person = F.concat_ws(" ", F.array(F.substring_index(match, " ", 1)), F.transform(found, lambda u: F.initcap(value(u))))
-    return F.when(kind.isin("email", "ip6"), cased).when(kind == "ip4", one).when(kind == "iban", blanks).when(kind == "person", person).otherwise(filled)
+
+    def laid(source: Column, kept) -> Column:
+        """The match with all but kept characters replaced, in order, from the source."""
+        move = lambda s, c: F.when(kept(c), F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["out"], F.substr(source, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i")))
+        return F.aggregate(chars(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), move, lambda s: s["out"])
+
+    person = F.concat_ws(" ", F.array(F.substring_index(match, " ", 1)), F.transform(found["values"], F.initcap))
+    shaped = F.when(kind.isin("email", "ip6"), cased).when(kind == "ip4", one).when(kind == "iban", laid(one, lambda c: c == " "))
+    return shaped.when(kind == "person", person).otherwise(laid(found["digits"], lambda c: ~c.rlike("[0-9]")))
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -239,7 +252,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     docs = docs.select(*[c for c in docs.columns if c.lower() != "pii_kinds"])
     matches, text_key, values = fresh(docs, "matches", "text_key", "values")
     text = F.col(f"`{text_col}`")
-    found = F.coalesce(text.rlike(SIGN) & text.rlike(ANY), F.lit(False))
+    sign = text.rlike(SIGN)
+    for title in TITLES:
+        sign |= F.contains(text, F.lit(title))
+    found = F.coalesce(sign & text.rlike(ANY), F.lit(False))
     hits = docs.where(found).withColumns({matches: F.regexp_extract_all(text, F.lit(ANY), 0), text_key: F.sha2(text, 256)})
     hits = materialize(hits, "hits")
     parts = hits.select(text_key, F.explode(F.flatten(F.transform(matches, units))).alias("u")).select(text_key, "u.*").distinct()
@@ -247,9 +263,12 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     chosen = assign(parts, key)
     entry = F.struct(F.concat("kind", F.lit("|"), "norm").alias("k"), F.col("value").alias("v"))
     maps = materialize(parts.join(materialize(chosen, "chosen"), ["kind", "norm"]).groupBy(text_key).agg(F.map_from_entries(F.collect_list(entry)).alias(values)), "maps")
-    gaps = F.split(text, ANY, -1)
-    shaped = F.transform(matches, lambda m: _in_shape(m, F.col(values)))
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(shaped, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    changed = hits.join(maps, text_key).withColumns({text_col: rebuilt, "pii_kinds": F.transform(matches, kind_of)}).select(*docs.columns, "pii_kinds")
+    changed = hits.join(maps, text_key)
+    each = F.transform(matches, lambda m: F.struct(m.alias("match"), kind_of(m).alias("kind"), F.transform(units(m), lambda u: F.element_at(F.col(values), F.concat(u["kind"], F.lit("|"), u["norm"]))).alias("values")))
+    changed = changed.withColumn(matches, each)
+    full = F.transform(matches, lambda m: F.struct(m["match"].alias("match"), m["kind"].alias("kind"), m["values"].alias("values"), m["values"][0].alias("one"), digits(m["values"][0]).alias("digits")))
+    changed = changed.withColumn(matches, full).withColumn(values, F.transform(matches, _in_shape))
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(values, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+    changed = changed.withColumns({text_col: rebuilt, "pii_kinds": F.transform(matches, lambda m: m["kind"])}).select(*docs.columns, "pii_kinds")
     same = docs.where(~found).withColumn("pii_kinds", F.array().cast("array<string>"))
     return same.unionByName(changed)
