@@ -67,8 +67,8 @@ REVIEW = ("line_no", "start_raw", "start_final", "end", "text", "confidence", "s
 
 def review_rows(prepared: DataFrame) -> DataFrame:
     """The review table of prepared lines, all as text: times with 3, confidences with 4 decimals, flags joined by ';'."""
-    three = lambda c: F.format_string("%.3f", F.col(c).cast("double").cast("decimal(18,3)"))
-    shown = {"start_raw": three("start_time_raw"), "start_final": three("start_time_offset"), "end": three("end_time"), "confidence": F.format_string("%.4f", F.col("confidence").cast("decimal(18,4)")), "support_frames": F.col("support_frames").cast("string"), "qa_flags": F.array_join("qa_flags", ";")}
+    three = lambda c: F.col(c).cast("double").cast("decimal(18,3)").cast("string")
+    shown = {"start_raw": three("start_time_raw"), "start_final": three("start_time_offset"), "end": three("end_time"), "confidence": F.col("confidence").cast("double").cast("decimal(18,4)").cast("string"), "support_frames": F.col("support_frames").cast("string"), "qa_flags": F.array_join("qa_flags", ";")}
     return prepared.select("track_id", "line_no", *(shown[c].alias(c) if c in shown else F.col(c) for c in REVIEW if c != "line_no"))
 
 
