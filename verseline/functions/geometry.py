@@ -68,7 +68,8 @@ def same_row(a: Column, b: Column) -> Column:
     """Strict test of the detector on two bounds: overlap of 0.6 of the lower, centres within 0.4 of the higher."""
     ha, hb = (F.greatest(g["y_max"] - g["y_min"], F.lit(1.0)) for g in (a, b))
     centre = F.abs(a["y_min"] + a["y_max"] - b["y_min"] - b["y_max"]) / 2
-    return F.coalesce((_overlap(a, b) / F.least(ha, hb) >= 0.60) & (centre / F.greatest(ha, hb) <= 0.40), F.lit(False))
+    # least and greatest pass over nulls, so absent bounds are told apart first
+    return a.isNotNull() & b.isNotNull() & F.coalesce((_overlap(a, b) / F.least(ha, hb) >= 0.60) & (centre / F.greatest(ha, hb) <= 0.40), F.lit(False))
 
 
 def same_visual_line(a: Column, b: Column, tolerance: float = 0.65) -> Column:

@@ -48,6 +48,7 @@ def prepare(lines: DataFrame, offset_ms: int = 0, position: str = "ordinal", str
     out = out.withColumn("qa_flags", numbers.with_flag(F.col("qa_flags"), "out_of_order_timestamp", F.coalesce(F.col("centiseconds") < F.col("_before"), F.lit(False))))
     sorted_ = Window.partitionBy("track_id").orderBy("centiseconds", position)
     out = out.withColumns({"_twin": F.coalesce(F.col("centiseconds") == F.lag("centiseconds").over(sorted_), F.lit(False)), "line_no": F.row_number().over(sorted_)})
+    flags = numbers.with_flag(F.col("qa_flags"), "duplicate_timestamp", F.col("_twin"))
     if strict:
-        out = out.withColumn("_twin", F.when(F.assert_true(~F.col("_twin"), F.lit("duplicate timestamps")).isNull(), F.lit(False)))
-    return out.withColumn("qa_flags", numbers.with_flag(F.col("qa_flags"), "duplicate_timestamp", F.col("_twin"))).drop("_before", "_twin")
+        flags = F.when(F.col("_twin"), F.raise_error(F.lit("duplicate timestamps")).cast("array<string>")).otherwise(flags)
+    return out.withColumn("qa_flags", flags).drop("_before", "_twin")

@@ -186,7 +186,7 @@ def group_rows(items: Column, tolerance: float = 0.65) -> Column:
     member = lambda e: F.struct(e["i"].alias("i"), e["item"].alias("item"), e["x"].alias("x"), e["g"]["width"].alias("w"))
 
     def step(rows: Column, e: Column) -> Column:
-        near = F.transform(rows, lambda r, k: F.when(F.coalesce(same_visual_line(e["g"], r["e"], tolerance), F.lit(False)) | (e["none"] & r["e"].isNull()), F.struct(F.coalesce(F.abs(e["g"]["y_center"] - r["e"]["y_center"]), F.lit(0.0)).alias("d"), k.alias("k"))))
+        near = F.transform(rows, lambda r, k: F.when((e["g"].isNotNull() & r["e"].isNotNull() & same_visual_line(e["g"], r["e"], tolerance)) | (e["g"].isNull() & r["e"].isNull()), F.struct(F.coalesce(F.abs(e["g"]["y_center"] - r["e"]["y_center"]), F.lit(0.0)).alias("d"), k.alias("k"))))
         best = F.array_min(F.filter(near, lambda n: n.isNotNull()))["k"]
         grown = lambda r: F.when(e["g"].isNotNull(), extent(F.struct(F.least(r["e"]["x_min"], e["g"]["x_min"]).alias("x_min"), F.greatest(r["e"]["x_max"], e["g"]["x_max"]).alias("x_max"), F.least(r["e"]["y_min"], e["g"]["y_min"]).alias("y_min"), F.greatest(r["e"]["y_max"], e["g"]["y_max"]).alias("y_max"))))
         joined = F.transform(rows, lambda r, k: F.when(k == best, F.struct(grown(r).alias("e"), F.array_append(r["m"], member(e)).alias("m"))).otherwise(r))
