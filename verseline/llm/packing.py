@@ -134,8 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path, shared)
         for batch in batches:
-            at = 0
-            for part in text_parts([t or "" for t in batch.column(2).to_pylist()]):
+            for at, part in text_parts(batch.column(2)):
                 row, piece, length, crc, ids = [], [], [], [], []
                 found, bounds = encoder.ids(part)
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), at):
@@ -148,7 +147,6 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                         crc.append(zlib.crc32(one))
                         if keep_ids:
                             ids.append(one)
-                at += len(part)
                 pick = pa.array(row, pa.int64())
                 columns = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if keep_ids else []), names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])

@@ -41,7 +41,6 @@ ANY = "|".join((EMAIL, IP4, IP6, IBAN, CARD, SSN, PHONE, PERSON))
 SIGN = "[0-9]{2}|@|[0-9][.][0-9]|::"
 TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr", "г-", "господин", "госпожа")
 
-_CONSONANTS, _VOWELS = "bcdfghklmnprstvz", "aeiouaeioaeuaioe"
 _SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re".split(), "cyrillic": "ба бо ва ве га го да де жа зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре са се та то".split()}
 _ENDS = {"m": {"latin": "ron lan nus rik ton din mar vid".split(), "cyrillic": "рон лан нис рик тон дин мар вид".split()}, "f": {"latin": "rina lia nessa mira tia dora vela sana".split(), "cyrillic": "рина лия неса мира тия дора вела сана".split()}, "s": {"latin": "sen mann ler nard well rick dorf stone".split(), "cyrillic": "нов мин лев ков дин рин бин сон".split()}}
 
@@ -104,28 +103,30 @@ def _nibble(stream: Column, i: Column) -> Column:
     return code - F.when(code < 97, 48).otherwise(87)
 
 
-def _digit(stream: Column, i: Column) -> Column:
-    """A decimal digit from two places of the stream."""
-    return ((_nibble(stream, i) * 16 + _nibble(stream, i + 29)) % 10).cast("string")
+def _pick(choices: str, n: Column, size: int) -> Column:
+    return F.element_at(choices, (n % size + 1).cast("int"))
 
 
-def _pick(choices: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, choices)), (n % len(choices) + 1).cast("int"))
+def _digit_stream(stream: Column) -> Column:
+    return F.translate(stream, "abcdef", "357046")
+
+
+def _letter_stream(stream: Column) -> Column:
+    """Consonants and vowels by turns are not kept; every letter is one of sixteen that spell well."""
+    return F.translate(stream, "0123456789abcdef", "bdfgklmnprstaeio")
 
 
 def _reshaped(text: Column, stream: Column) -> Column:
-    """Vowels, consonants and digits by others of their class; the rest stays."""
+    """Runs of letters by letters and runs of digits by digits, as long as before; the rest stays."""
+    runs = F.regexp_extract_all(text, F.lit("[a-z]+|[0-9]+|[^a-z0-9]+"), 0)
 
-    def one(c: Column, i: Column) -> Column:
-        n = _nibble(stream, i + 1)
-        return (
-            F.when(c.rlike("[0-9]"), _digit(stream, i + 1))
-            .when(c.rlike("[aeiou]"), F.substr(F.lit(_VOWELS), n + 1, F.lit(1)))
-            .when(c.rlike("[a-z]"), F.substr(F.lit(_CONSONANTS), n + 1, F.lit(1)))
-            .otherwise(c)
-        )
+    def one(run: Column, i: Column) -> Column:
+        at = i * 11 % 64 + 1
+        long = F.length(run)
+        letters = F.substr(F.repeat(_letter_stream(F.substr(stream, at)), (long / 64 + 1).cast("int")), F.lit(1), long)
+        return F.when(run.rlike("^[a-z]"), letters).when(run.rlike("^[0-9]"), F.translate(letters, "bdfgklmnprstaeio", "0123456789357046")).otherwise(run)
 
-    return F.array_join(F.transform(chars(text), one), "")
+    return F.array_join(F.transform(runs, one), "")
 
 
 def _luhn(number: Column) -> Column:
@@ -166,16 +167,17 @@ def surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     step = entities.select("kind", "norm").withColumns({"half": hashed(kind, norm, F.lit(str(attempt))), "host": F.when(kind == "email", F.substr(at, F.lit(1), F.length(at) - F.length(top)))})
     step = step.withColumns({"stream": F.concat("half", F.sha2(F.concat("half", F.lit(key)), 256)), "host_stream": F.when(kind == "email", hashed(F.lit("domain"), F.col("host")))})
 
-    def number(i: int) -> Column:
-        return _nibble(stream, F.lit(2 * i + 1)) * 16 + _nibble(stream, F.lit(2 * i + 2))
+    # bytes of the stream that addresses and names are made of
+    step = step.withColumns({f"byte{i}": _nibble(stream, F.lit(2 * i + 1)) * 16 + _nibble(stream, F.lit(2 * i + 2)) for i in (0, 1, 2, 3, 20, 21, *range(30, 30 + attempt // 2))})
 
-    def filled(text: Column, fixed: Column) -> Column:
-        """Digits beyond the first ``fixed`` characters replaced; the first of them is 2 to 9."""
-        one = lambda c, i: F.when((i < fixed) | ~c.rlike("[0-9]"), c).when(i == fixed, (_nibble(stream, i + 1) % 8 + 2).cast("string")).otherwise(_digit(stream, i + 1))
-        return F.array_join(F.transform(chars(text), one), "")
+    def number(i: int) -> Column:
+        return F.col(f"byte{i}")
 
-    bank = F.concat(F.substr(norm, F.lit(1), F.lit(4)), F.array_join(F.transform(chars(F.substr(norm, F.lit(5))), lambda c, i: F.when(c.rlike("[0-9]"), _digit(stream, i + 1)).otherwise(F.chr(65 + (_nibble(stream, i + 1) * 16 + _nibble(stream, i + 30)) % 26))), ""))
-    draft = F.when(kind == "card", filled(norm, F.lit(1))).when(kind == "iban", bank)
+    # digits to fill in; the first of a number is 2 to 9
+    step = step.withColumn("numerals", F.concat(F.translate(F.substr(_digit_stream(stream), F.lit(1), F.lit(1)), "01", "23"), F.substr(_digit_stream(stream), F.lit(2))))
+    numerals = F.col("numerals")
+    bank = F.concat(F.substr(norm, F.lit(1), F.lit(4)), F.array_join(F.transform(F.regexp_extract_all(F.substr(norm, F.lit(5)), F.lit("[0-9]+|[A-Z]+"), 0), lambda run, i: F.when(run.rlike("^[0-9]"), F.substr(numerals, i * 3 + 1, F.length(run))).otherwise(F.upper(F.substr(_letter_stream(stream), i + 1, F.length(run))))), ""))
+    draft = F.when(kind == "card", F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(numerals, F.lit(1), F.length(norm) - 1))).when(kind == "iban", bank)
     step = step.withColumns({"draft": draft, "valid": F.when(kind == "card", _luhn(norm) == F.substr(norm, F.length(norm)).cast("int"))})
     body = F.col("draft")
     step = step.withColumn("check", F.when(kind == "card", _luhn(body).cast("string")).when(kind == "iban", _iban_check(body)))
@@ -188,23 +190,26 @@ def surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
         .when(norm.rlike("^(?:192[.]168|172[.](?:1[6-9]|2[0-9]|3[01]))[.]"), F.concat_ws(".", octets[0], octets[1], *tail[1:]))
         .otherwise(F.concat_ws(".", (number(0) % 112 + 11).cast("string"), *tail))
     )
-    ip6 = F.array_join(F.transform(chars(norm), lambda c, i: F.when(c == ":", c).otherwise(F.substr(stream, i % 128 + 1, F.lit(1)))), "")
-    phone = filled(norm, F.when(norm.startswith("+"), F.instr(norm, ".")).otherwise(0))
+    groups = F.transform(F.split(norm, ":"), lambda g, i: F.substr(stream, i * 5 + 1, F.length(g)))
+    ip6 = F.array_join(groups, ":")
+    code = F.when(norm.startswith("+"), F.instr(norm, ".")).otherwise(0)
+    phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(numerals, F.lit(1), F.length(norm) - code))
     check = F.col("check").cast("int")
     last = F.when(F.col("valid"), check).otherwise((check + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
     card = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), last.cast("string"))
     iban = F.concat(F.substr(body, F.lit(1), F.lit(2)), F.col("check"), F.substr(body, F.lit(5)))
 
-    def name(part: str, script: str) -> Column:
-        # every second attempt is a syllable longer, so there are always unused names
-        first = [_pick(_SYLLABLES[script], number(i)) for i in range(1 + attempt // 2)]
-        return F.concat(*first, _pick(_SYLLABLES[script], number(20)), _pick(_ENDS[part][script], number(21)))
+    # every second attempt is a syllable longer, so there are always unused names
+    script, part = F.substr(kind, F.lit(3)), F.substr(kind, F.lit(1), F.lit(1))
+    syllables = F.when(script == "cyrillic", F.array(*map(F.lit, _SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, _SYLLABLES["latin"])))
+    ends = [F.when((part == p) & (script == s), F.array(*map(F.lit, _ENDS[p][s]))) for p in _ENDS for s in _SYLLABLES]
+    step = step.withColumns({"syllables": F.when(kind.contains(":"), syllables), "ends": F.coalesce(*ends)})
+    picked = [_pick("syllables", number(i), 32) for i in (0, *range(30, 30 + attempt // 2), 20)]
+    name = F.concat(*picked, _pick("ends", number(21), 8))
 
     out = F.when(kind == "email", email).when(kind == "ip4", ip4).when(kind == "ip6", ip6).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
-    for part in ("m", "f", "s"):
-        for script in ("latin", "cyrillic"):
-            out = out.when(kind == f"{part}:{script}", name(part, script))
-    return step.withColumn("value", out.otherwise(filled(norm, F.lit(0)))).select("kind", "norm", "value")
+    out = out.when(kind.contains(":"), name)
+    return step.withColumn("value", out.otherwise(F.substr(numerals, F.lit(1), F.length(norm)))).select("kind", "norm", "value")
 
 
 #: entities that a task makes surrogates for
@@ -230,16 +235,18 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def _in_shape(found: Column) -> Column:
     """An entity's surrogate in the shape the entity is written in; found: struct of match, kind, values, one, digits."""
     match, kind, one = found["match"], found["kind"], found["one"]
-    cased = F.array_join(F.transform(chars(match), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")
+    mixed = F.array_join(F.transform(chars(match), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")
+    cased = F.when(match == F.lower(match), one).when(match == F.upper(match), F.upper(one)).otherwise(mixed)
 
-    def laid(source: Column, kept) -> Column:
-        """The match with all but kept characters replaced, in order, from the source."""
-        move = lambda s, c: F.when(kept(c), F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["out"], F.substr(source, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i")))
-        return F.aggregate(chars(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), move, lambda s: s["out"])
+    def laid(source: Column, kept: str) -> Column:
+        """The match with all runs but the kept ones replaced, in order, from the source."""
+        runs = F.regexp_extract_all(match, F.lit(f"{kept}+|(?:(?!{kept}).)+"), 0)
+        move = lambda s, run: F.when(run.rlike(f"^{kept}"), F.struct(F.concat(s["out"], run).alias("out"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["out"], F.substr(source, s["i"], F.length(run))).alias("out"), (s["i"] + F.length(run)).alias("i")))
+        return F.aggregate(runs, F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), move, lambda s: s["out"])
 
     person = F.concat_ws(" ", F.array(F.substring_index(match, " ", 1)), F.transform(found["values"], F.initcap))
-    shaped = F.when(kind.isin("email", "ip6"), cased).when(kind == "ip4", one).when(kind == "iban", laid(one, lambda c: c == " "))
-    return shaped.when(kind == "person", person).otherwise(laid(found["digits"], lambda c: ~c.rlike("[0-9]")))
+    shaped = F.when(kind.isin("email", "ip6"), cased).when(kind == "ip4", one).when(kind == "iban", laid(one, "[ ]")).when(kind == "card", F.when(match == digits(match), found["digits"]).otherwise(laid(found["digits"], "[ -]")))
+    return shaped.when(kind == "person", person).otherwise(laid(found["digits"], "[^0-9]"))
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import ALNUM, Words, slices, strings
 
-SHARD = 1 << 19
+SHARD = 1 << 18
 BLOCK = 2_000_000
 
 
 class SuffixArray:
-    """Suffixes of a token array, sorted by their first ``depth`` tokens."""
+    """Suffixes of a token array, sorted by their first ``depth`` tokens, or wholly if depth is None."""
 
-    def __init__(self, tokens: np.ndarray, depth: int):
+    def __init__(self, tokens: np.ndarray, depth: int | None):
         """tokens: non-negative ids below 2^31, ended by zeros that match nothing."""
         n = len(tokens)
         padded = np.zeros(n + 3, np.int64)
@@ -50,7 +50,7 @@ class SuffixArray:
         #: a suffix's rank is the place of the first suffix equal to it so far
         rank[self.order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         done = held
-        while done < depth:
+        while depth is None or done < depth:
             tie = ~fresh
             tie[:-1] |= ~fresh[1:]
             # runs of separators need no order among themselves
@@ -67,18 +67,20 @@ class SuffixArray:
             fresh[at] = new | fresh[at]
             rank[places] = np.maximum.accumulate(np.where(new, at, 0))
             done *= 2
-        self.tokens = np.concatenate((tokens, np.zeros(depth + 1, tokens.dtype)))
-        self.depth = depth
+        self.tokens = tokens
 
-    def search(self, queries: np.ndarray, sizes: np.ndarray, after: bool) -> np.ndarray:
-        """For each query row the first place whose suffix, cut to the query's size, is not below it (after: above it)."""
-        lo = np.zeros(len(queries), np.int64)
-        hi = np.full(len(queries), len(self.order), np.int64)
+    def search(self, queries: np.ndarray, sizes: np.ndarray, after: bool, within: tuple[np.ndarray, np.ndarray] | None = None, skip: int = 0) -> np.ndarray:
+        """For each query row the first place whose suffix, cut to the query's size, is not below it (after: above it).
+
+        within: places to search between; skip: words of the suffixes that are known to agree there.
+        """
+        lo, hi = (x.copy() for x in within) if within else (np.zeros(len(queries), np.int64), np.full(len(queries), len(self.order), np.int64))
+        last = len(self.tokens) - 1  # a separator
         span = np.arange(queries.shape[1])
         outside = span[None, :] >= sizes[:, None]
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            have = self.tokens[self.order[mid][:, None] + span]
+            have = self.tokens[np.minimum(self.order[mid][:, None] + span + skip, last)]
             want = queries[open_]
             differ = (have != want) & ~outside[open_]
             first = differ.argmax(axis=1)
@@ -130,7 +132,7 @@ def load_items(bench: DataFrame, id_col: str, text_col: str) -> list[Items]:
 
 
 class Shard:
-    def __init__(self, parts: list[np.ndarray], depth: int):
+    def __init__(self, parts: list[np.ndarray], depth: int | None):
         sizes = np.array([len(p) for p in parts], np.int64)
         hashes = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint64)
         self.words, ids = np.unique(hashes, return_inverse=True)
@@ -173,16 +175,27 @@ def occurrences(shard: Shard, items: Items, size: int) -> tuple[np.ndarray, np.n
     return shard.array.order[flat], np.repeat(length, n), np.repeat(owner, n)
 
 
-def longest(shard: Shard, items: Items, least: int, depth: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, word, document, word there, words): a longest verbatim match of each item suffix with the shard."""
-    ids = np.concatenate((shard.translate(items.hashes), np.ones(depth, np.int32)))
+def longest(shard: Shard, items: Items, least: int, width: int = 16) -> list[tuple[int, int, int, int, int]]:
+    """(item, word, document, word there, words): a longest verbatim match of each item suffix with a wholly sorted shard.
+
+    Queries are compared ``width`` words at a time, each time within the places that agree so far.
+    """
+    ids = np.concatenate((shard.translate(items.hashes), np.ones(1, np.int32)))
     owner = np.repeat(np.arange(len(items.names)), np.diff(items.bounds))
     stop = items.bounds[owner + 1]
     start = np.arange(len(owner))
-    queries = ids[start[:, None] + np.arange(depth)]
-    inside = np.arange(depth)[None, :] < (stop - start)[:, None]
-    queries = np.where(inside, queries, 1)
-    place = shard.array.search(queries, np.full(len(queries), depth), False)
+    place = np.zeros(len(owner), np.int64)
+    lo, hi = np.zeros(len(owner), np.int64), np.full(len(owner), len(shard.array.order), np.int64)
+    todo, skip = start, 0
+    while len(todo):
+        at = start[todo][:, None] + skip + np.arange(width)
+        # beyond an item's end stands 1, which no word has
+        queries = np.where(at < stop[todo][:, None], ids[np.minimum(at, len(ids) - 1)], 1)
+        sizes = np.full(len(todo), width)
+        within = lo[todo], hi[todo]
+        lo[todo], hi[todo] = shard.array.search(queries, sizes, False, within, skip), shard.array.search(queries, sizes, True, within, skip)
+        place[todo] = lo[todo]
+        todo, skip = todo[lo[todo] < hi[todo]], skip + width
     order, tokens = shard.array.order, shard.array.tokens
     out = []
     for s, p in enumerate(place.tolist()):
@@ -192,14 +205,14 @@ def longest(shard: Shard, items: Items, least: int, depth: int) -> list[tuple[in
                 at, k = int(order[q]), 0
                 while s + k < stop[s] and tokens[at + k] == ids[s + k]:
                     k += 1
-                best = max(best, (k, at))
+                best = max(best, (k, -at))
         if best[0] >= least:
-            doc = int(np.searchsorted(shard.starts, best[1], "right")) - 1
-            out.append((int(owner[s]), s - int(items.bounds[owner[s]]), doc, best[1] - int(shard.starts[doc]), best[0]))
+            doc = int(np.searchsorted(shard.starts, -best[1], "right")) - 1
+            out.append((int(owner[s]), s - int(items.bounds[owner[s]]), doc, -best[1] - int(shard.starts[doc]), best[0]))
     return out
 
 
-def shards(batches: Iterator[pa.RecordBatch], text_at: int, depth: int) -> Iterator[tuple[pa.RecordBatch, Shard, list[int]]]:
+def shards(batches: Iterator[pa.RecordBatch], text_at: int, depth: int | None) -> Iterator[tuple[pa.RecordBatch, Shard, list[int]]]:
     """(rows, their shard, words of each row); rows of a batch beyond a shard's size start the next."""
     for batch in batches:
         first, parts, held = 0, [], 0
@@ -288,9 +301,9 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5, depth: int = 16) -> DataFrame:
+def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5) -> DataFrame:
     """(item_id, item_word, doc_id, doc_word, words): for each item suffix one longest verbatim match in docs of
-    at least ``least`` words; of equally long ones that with the smallest doc_id and word."""
+    at least ``least`` words; of those found in different shards the longest, then that with the smallest doc_id and word."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
@@ -298,8 +311,8 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for rows, shard, _ in shards(batches, 1, depth):
-                found = longest(shard, shared.value, least, depth)
+            for rows, shard, _ in shards(batches, 1, None):
+                found = longest(shard, shared.value, least)
                 if found:
                     item, word, doc, at, n = zip(*found)
                     yield pa.RecordBatch.from_arrays(

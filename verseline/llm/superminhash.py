@@ -19,7 +19,7 @@ _SALT = np.uint64(0x632BE59BD9B4E019)
 _LOW = np.uint64(0xFFFFFFFF)
 #: bits of r; the step is kept above them
 _BITS = 24
-ELEMENTS = 150_000
+ELEMENTS = 60_000
 
 
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
