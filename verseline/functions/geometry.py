@@ -48,10 +48,16 @@ def geometry(box: Column) -> Column:
     """Bounds, centre and size of a polygon; null without a finite point.  The height is 1e-6 at least."""
     ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     points = F.filter(box, lambda p: (F.size(p) >= 2) & ok(F.get(p, F.lit(0))) & ok(F.get(p, F.lit(1))))
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    x0, x1, y0, y1 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    parts = {"x_min": x0, "x_max": x1, "y_min": y0, "y_max": y1, "x_center": (x0 + x1) / 2, "y_center": (y0 + y1) / 2, "width": F.greatest(F.lit(0.0), x1 - x0), "height": F.greatest(F.lit(1e-6), y1 - y0)}
-    return F.when(F.size(points) > 0, F.struct(*(v.alias(k) for k, v in parts.items())))
+    start = F.struct(*(F.lit(None).cast("double").alias(n) for n in ("x_min", "x_max", "y_min", "y_max")))
+    # least and greatest pass over nulls, so the fold starts from nothing
+    grow = lambda g, p: F.struct(F.least(g["x_min"], p[0]).alias("x_min"), F.greatest(g["x_max"], p[0]).alias("x_max"), F.least(g["y_min"], p[1]).alias("y_min"), F.greatest(g["y_max"], p[1]).alias("y_max"))
+
+    def whole(g: Column) -> Column:
+        x0, x1, y0, y1 = g["x_min"], g["x_max"], g["y_min"], g["y_max"]
+        parts = {"x_min": x0, "x_max": x1, "y_min": y0, "y_max": y1, "x_center": (x0 + x1) / 2, "y_center": (y0 + y1) / 2, "width": F.greatest(F.lit(0.0), x1 - x0), "height": F.greatest(F.lit(1e-6), y1 - y0)}
+        return F.when(x0.isNotNull(), F.struct(*(v.alias(k) for k, v in parts.items())))
+
+    return F.aggregate(points, start, grow, whole)
 
 
 def bounds(box: Column) -> Column:

@@ -86,21 +86,23 @@ def variants(text: Column) -> Column:
     return F.struct(F.coalesce(text, F.lit("")).alias("raw_text"), display(text).alias("display_text"), match(text).alias("match_text"))
 
 
-def similarity_percent(left: Column, right: Column) -> Column:
-    """0 to 100 by edit distance over the longer text; two empty texts are alike."""
-    longest = F.greatest(F.length(left), F.length(right))
-    return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(left, right) / longest))
+def similarity_percent(left: Column, right: Column, distance: Column | None = None) -> Column:
+    """0 to 100 by edit distance over the longer text; two empty texts are alike.
+    A distance that is at hand already need not be computed again."""
+    return 100.0 * similarity(left, right, distance)
 
 
-def similarity(left: Column, right: Column) -> Column:
+def similarity(left: Column, right: Column, distance: Column | None = None) -> Column:
     """0 to 1 by edit distance over the longer text; two empty texts are alike."""
     longest = F.greatest(F.length(left), F.length(right))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(left, right) / longest)
+    distance = F.levenshtein(left, right) if distance is None else distance
+    return F.when(longest == 0, 1.0).otherwise(1 - distance / longest)
 
 
-def character_error_rate(reference: Column, candidate: Column) -> Column:
+def character_error_rate(reference: Column, candidate: Column, distance: Column | None = None) -> Column:
     """Edits per reference character; may pass 1.  Against an empty reference 0 if the candidate is empty, else 1."""
-    return F.when(F.length(reference) == 0, F.when(F.length(candidate) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, candidate) / F.length(reference))
+    distance = F.levenshtein(reference, candidate) if distance is None else distance
+    return F.when(F.length(reference) == 0, F.when(F.length(candidate) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.length(reference))
 
 
 @lru_cache(maxsize=65536)

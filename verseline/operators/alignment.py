@@ -15,6 +15,7 @@ from verseline.config import Parameters
 from verseline.functions import text
 from verseline.functions.numbers import clean
 from verseline.functions.text import edit_distance
+from verseline.operators.observations import spread
 
 MATCH, SKIP_REFERENCE, SKIP_CANDIDATE = 0, 1, 2
 ALIGNED = "track_id string, reference_index int, candidate_index int, similarity double, edit_distance int"
@@ -98,15 +99,16 @@ def align_lines(reference: DataFrame, candidate: DataFrame, parameters: Paramete
         return pd.DataFrame({"track_id": track, "reference_index": i[out["i"].astype(int)] if len(out) else [], "candidate_index": j[out["j"].astype(int)] if len(out) else [], "similarity": out["similarity"].astype(float), "edit_distance": out["edit_distance"].astype(int)})
 
     sides = [d.select(F.col("track_id").cast("string").alias("track_id"), F.col("line_index").cast("int").alias("line_index"), text.evaluation(F.col("text")).alias("norm")) for d in (reference, candidate)]
-    return sides[0].groupBy("track_id").cogroup(sides[1].groupBy("track_id")).applyInPandas(run, ALIGNED)
+    left, right = (spread(d, "track_id") for d in sides)
+    return left.groupBy("track_id").cogroup(right.groupBy("track_id")).applyInPandas(run, ALIGNED)
 
 
 def similarity_matrix(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """Every pair of lines within a track, with distance and similarity."""
     left = reference.select("track_id", F.col("line_index").alias("reference_index"), text.evaluation(F.col("text")).alias("a"))
     right = candidate.select("track_id", F.col("line_index").alias("candidate_index"), text.evaluation(F.col("text")).alias("b"))
-    pairs = left.join(right, "track_id")
-    return pairs.select("track_id", "reference_index", "candidate_index", F.levenshtein("a", "b").alias("edit_distance"), text.similarity(F.col("a"), F.col("b")).alias("similarity"))
+    pairs = spread(left, "track_id").join(right, "track_id").withColumn("edit_distance", F.levenshtein("a", "b"))
+    return pairs.select("track_id", "reference_index", "candidate_index", "edit_distance", text.similarity(F.col("a"), F.col("b"), F.col("edit_distance")).alias("similarity"))
 
 
 def unmatched(lines: DataFrame, aligned: DataFrame, side: str) -> DataFrame:

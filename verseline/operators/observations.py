@@ -15,6 +15,13 @@ def in_order():
     return Window.partitionBy("track_id").orderBy("time", "source_index")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys into as many parts as the session sets, and kept so: what follows is short of CPU, not of
+    bytes, so small partitions must not be merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _boundaries(texts: pd.Series, fragments: pd.Series) -> pd.Series:
     return pd.Series([text.boundaries(t or "", None if f is None else list(f)) for t, f in zip(texts, fragments)])
@@ -125,7 +132,7 @@ def medoids(members: DataFrame, group: str, order: str) -> DataFrame:
     texts = members.groupBy(group, "match_text").agg(F.count("*").alias("n"))
     faces = members.groupBy(group, "display_text").agg(F.min(F.struct(order, "match_text")).alias("first"), F.avg("confidence").alias("sure"))
     faces = faces.select(group, "display_text", F.col("first.match_text").alias("own"), F.col(f"first.{order}").alias("nth"), "sure")
-    cost = faces.join(texts, group).groupBy(group, "display_text", "own", "nth", "sure").agg(F.sum(F.col("n") * F.levenshtein("own", "match_text")).alias("cost"))
+    cost = spread(faces, group).join(texts, group).groupBy(group, "display_text", "own", "nth", "sure").agg(F.sum(F.col("n") * F.levenshtein("own", "match_text")).alias("cost"))
     rank = F.struct("cost", (-F.col("sure")).alias("s"), (-F.length("own")).alias("l"), "nth")
     return cost.groupBy(group).agg(F.min_by("display_text", rank).alias("medoid"), F.min("cost").alias("total_distance"))
 

@@ -100,8 +100,9 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F05-F08 between a turn and the one before."""
     base = turns(spark, sf_dir).withColumn("now", text.match(F.col("text")))
     base = base.withColumn("before", F.lag("now").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
-    a, b = F.col("before"), F.col("now")
-    return base.select("conv_id", "turn", F.levenshtein(a, b).alias("distance"), F.round(text.similarity_percent(a, b), 6).alias("percent"), F.round(text.similarity(a, b), 6).alias("similarity"), F.round(text.character_error_rate(a, b), 6).alias("cer"))
+    a, b, d = F.col("before"), F.col("now"), F.col("distance")
+    base = observations.spread(base, "conv_id", "turn").withColumn("distance", F.levenshtein("before", "now"))
+    return base.select("conv_id", "turn", "distance", F.round(text.similarity_percent(a, b, d), 6).alias("percent"), F.round(text.similarity(a, b, d), 6).alias("similarity"), F.round(text.character_error_rate(a, b, d), 6).alias("cer"))
 
 
 def turn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +261,8 @@ def fixed_alignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     reference, candidate = sides(spark, sf_dir)
     left = reference.select("track_id", F.col("line_index").alias("reference_index"), text.evaluation(F.col("text")).alias("a"))
     pairs = candidate.select("track_id", F.col("line_index").alias("candidate_index"), F.col("turn").alias("reference_index"), text.evaluation(F.col("text")).alias("b")).join(left, ["track_id", "reference_index"])
-    aligned = pairs.select("track_id", "reference_index", "candidate_index", text.similarity(F.col("a"), F.col("b")).alias("similarity"), F.levenshtein("a", "b").alias("edit_distance"))
+    pairs = observations.spread(pairs, "track_id").withColumn("edit_distance", F.levenshtein("a", "b"))
+    aligned = pairs.select("track_id", "reference_index", "candidate_index", text.similarity(F.col("a"), F.col("b"), F.col("edit_distance")).alias("similarity"), "edit_distance")
     return reference, candidate.drop("turn"), aligned
 
 
