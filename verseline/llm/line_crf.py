@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import NOT_SPACE, Words, byte_class, slices, strings
+from verseline.llm.tables import bound_batches
 
 #: labelled documents that a fit uses at most
 SAMPLE = 4000
@@ -242,6 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     With no labels, or one class, the model gives every text the class rate.
     """
+    bound_batches(docs.sparkSession)
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
@@ -268,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1) and n_lines; null and empty texts have no line and score as all bad."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +286,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text scores ``threshold`` or more; columns as they were."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -298,6 +302,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "
 
 def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per line with a word: doc_id, line (from 0), start (bytes), p_good, good."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm import superminhash
-from verseline.llm.tables import materialize
+from verseline.llm.tables import bound_batches, materialize
 from verseline.llm.text_scan import NOT_SPACE, Words, mix64, shingles, slices, strings
 
 #: members of a bucket that meet in one task at once
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and is kept, with a null component.  Rows that repeat an id and its text
     share a component.  An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

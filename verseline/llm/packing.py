@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import materialize
+from verseline.llm.tables import bound_batches, materialize
 from verseline.llm.token_counts import loaded, share, text_parts
 
 RANKED = 1000
@@ -128,6 +128,7 @@ def slots(planned: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, row_key, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into
     pieces of ``capacity``; a null text is empty and gives the end id alone."""
+    bound_batches(docs.sparkSession)
     shared = share(docs.sparkSession, path)
     end = int(end_id).to_bytes(4, "little")
 

@@ -112,6 +112,39 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({**counts, "base_sha256": F.sha2(joined("spans", base_only=True), 256)}).withColumn("spans", joined("spans"))
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a)
+SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
+FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_WORDS = "regexp_extract_all({0}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP6_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+bench AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS win FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT n, win FROM bench),
+places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM docs, (SELECT DISTINCT n FROM bench) WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.pos, p.n, v.win FROM (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS win FROM places) p JOIN windows v ON v.n = p.n AND v.win = p.win),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT h.doc_id, CAST(b.item_id AS VARCHAR) AS name FROM hits h JOIN bench b ON b.n = h.n AND b.win = h.win) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.token_counts import count_tokens
 
@@ -134,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_suffix_decontamination": OP6_SQL}

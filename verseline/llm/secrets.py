@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import materialize
+from verseline.llm.tables import bound_batches, materialize
 
 #: fixed values: the base patterns, in their order
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -62,6 +62,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 
     row_key tells rows apart that share a doc_id.
     """
+    bound_batches(docs.sparkSession)
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import ALNUM, Words, slices, strings
+from verseline.llm.tables import bound_batches
 
 SHARD = 1 << 18
 BLOCK = 2_000_000
@@ -265,6 +266,7 @@ def _mark(shared, size: int):
 
 
 def _marked(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, keep: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     blocks = load_items(bench, item_col, item_text_col) or [Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [])]
     base = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items")]
@@ -304,6 +306,7 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5) -> DataFrame:
     """(item_id, item_word, doc_id, doc_word, words): for each item suffix one longest verbatim match in docs of
     at least ``least`` words; of those found in different shards the longest, then that with the smallest doc_id and word."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     out = None

@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: bytes of rows that a Python worker gets at once, unless the session says otherwise
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches where the session has the default of 64 MB: operators work row by row or on
+    slices, so larger ones only cost memory, on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import slices, strings
+from verseline.llm.tables import bound_batches
 
 #: fixed values: WAVE format tags
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -165,6 +166,7 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
 def store_text_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as
     the mu-law samples of a WAVE file.  A null text is stored as an empty one (64 zero bytes)."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +193,7 @@ def read_audio(stored: DataFrame, rate: int = 16000, keep_pcm: bool = False) ->
     and as 64-byte ADPCM blocks, and the CRC-32 of the PCM resampled to ``rate``.
     A null media value gives nulls.
     """
+    bound_batches(stored.sparkSession)
     kept = [f for f in stored.schema.fields if f.name != "media"]
     names = [f.name for f in kept]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", {AUDIO_SCHEMA}" + (", pcm binary" if keep_pcm else "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import fresh
+from verseline.llm.tables import bound_batches, fresh
 
 MAX_RULES = 1_000_000
 
@@ -110,6 +110,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: s
     fitting rule the verdict is ``default``.  Columns of df that clash with the
     new ones are replaced.  Of two rules equally long the first listed wins.
     """
+    bound_batches(df.sparkSession)
     if default not in ("allow", "block"):
         raise ValueError("default must be allow or block")
     rules = list(dict.fromkeys(rules))
