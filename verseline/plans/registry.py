@@ -114,7 +114,7 @@ def turn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19-F21, A04 over all lines of all documents that agree in their match text."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
-    counted = lines.groupBy("text").agg(F.count("*").alias("n")).where("n > 1 and length(text) <= 80")
+    counted = lines.groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
     frames = counted.select(F.lit("all").alias("track_id"), "text", F.lit(0).cast("long").alias("source_index"), "n")
     members = observations.observations(frames.select("track_id", "text", "source_index")).select("raw_text", "match_text", "boundaries")
     votes = members.join(counted.withColumnRenamed("text", "raw_text"), "raw_text").where("match_text <> ''")

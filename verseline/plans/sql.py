@@ -154,6 +154,14 @@ members AS (SELECT * FROM m WHERE own <> ''),
 faces AS (SELECT conv_id, display, min(turn) AS turn, any_value(own) AS own FROM members GROUP BY conv_id, display),
 costs AS (SELECT f.conv_id, f.display, f.turn, f.own, CAST(sum(levenshtein(f.own, o.own)) AS BIGINT) AS cost FROM faces f JOIN members o ON f.conv_id = o.conv_id GROUP BY ALL)
 SELECT conv_id, display AS medoid, cost AS total_distance FROM costs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, length(own) DESC, turn) = 1""",
+    "boundary_votes": f"""WITH lines AS (SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY text HAVING count(*) > 1),
+parts AS (SELECT n, {_MATCH.format('text')} AS match_text, list_transform(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: {_MATCH.format('w')}) AS ws FROM lines),
+kept AS (SELECT * FROM parts WHERE match_text <> ''),
+size AS (SELECT match_text, CAST(sum(n) AS BIGINT) AS compatible_frames FROM kept GROUP BY match_text),
+cuts AS (SELECT match_text, n, CAST(unnest(list_transform(range(1, len(ws)), lambda i: length(array_to_string(ws[1:i], '')))) AS INTEGER) AS position FROM kept WHERE len(ws) > 1 AND NOT list_contains(ws, '')),
+votes AS (SELECT match_text, position, CAST(sum(n) AS BIGINT) AS votes FROM cuts GROUP BY match_text, position)
+SELECT match_text, position, votes, compatible_frames, round(votes / compatible_frames, 6) AS ratio FROM votes JOIN size USING (match_text)
+WHERE votes >= greatest(2, ceil(compatible_frames * 0.30)) AND position > 0 AND position < length(match_text)""",
     "box_geometry": f"WITH {_BOX} SELECT l_orderkey, l_linenumber, x AS x_min, x + w AS x_max, y AS y_min, y + h AS y_max, (x + (x + w)) / 2 AS x_center, (y + (y + h)) / 2 AS y_center, greatest(0.0, x + w - x) AS width, greatest(1e-6, y + h - y) AS height FROM boxes",
     "frame_status": f"""WITH {_BOX} SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_raw, CAST(count(*) FILTER (confidence >= 0.5) AS INTEGER) AS n_kept,
 coalesce(string_agg(text, ',' ORDER BY l_linenumber, text, confidence, x) FILTER (confidence >= 0.5), '') AS kept, CASE WHEN count(*) FILTER (confidence >= 0.5) > 0 THEN 'ok' ELSE 'low_confidence' END AS status FROM boxes GROUP BY l_orderkey""",
