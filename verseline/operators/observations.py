@@ -53,8 +53,11 @@ def observations(frames: DataFrame, style: str = "line", votes: bool = True) ->
     default = F.when(F.col("display_text") != "", 1.0).otherwise(0.0)
     places = F.lit(None).cast("array<int>")
     if votes:
-        split = F.contains("display_text", F.lit(" ")) | (F.size("fragments") > 1)
-        places = F.when(split, _boundaries(F.when(split, F.col("display_text")), "fragments"))
+        split = F.contains("display_text", F.lit(" ")) | F.coalesce(F.size("fragments") > 1, F.lit(False))
+        # fragments, and blanks in long or non-ASCII texts, are counted in Python
+        easy, native = text.native_space_boundaries(F.col("display_text"))
+        easy &= F.coalesce(F.size("fragments") < 2, F.lit(True))
+        places = F.when(split & easy, native).when(split, _boundaries(F.when(split & ~easy, F.col("display_text")), "fragments"))
     return seen.withColumns({"confidence": numbers.observed_confidence(F.col("confidence"), default), "boundaries": places, "style": F.lit(style)}).drop("fragments")
 
 
