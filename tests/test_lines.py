@@ -219,7 +219,7 @@ def test_parameters_are_checked():
     assert Parameters().engine_score_floor == 0.10
 
 
-def test_native_boundaries_equal_the_function(spark):
+def test_boundaries_of_observations(spark):
     texts = ["ab cd", "a b c", "I - love you", "x", "", "ab, cd!", "é f", "w " * 1500 + "end", "good ol' day's & night"]
     got = obs.observations(spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "track_id string, source_index long, text string")).collect()
     assert {r.source_index: sorted(r.boundaries or []) for r in got} == {i: tx.boundaries(t) for i, t in enumerate(texts)}

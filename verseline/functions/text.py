@@ -81,19 +81,6 @@ def evaluation(text: Column) -> Column:
     return _with_fast_path(text, native, _evaluation)
 
 
-#: a longer text's blanks are counted in Python, where that takes one pass
-NATIVE_LENGTH = 2000
-
-
-def native_space_boundaries(shown: Column) -> tuple[Column, Column]:
-    """(applies, places): space_boundaries of short ASCII display texts."""
-    sizes = F.transform(F.split(shown, " "), lambda p: F.length(F.regexp_replace(F.lower(p), _PUNCTUATION, "")))
-    step = lambda out, n: F.array_append(out, n + F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)))
-    ends = F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), F.array().cast("array<int>"), step)
-    none = F.array().cast("array<int>")
-    return shown.rlike(_ASCII) & (F.length(shown) <= NATIVE_LENGTH), F.when(F.array_contains(sizes, 0), none).otherwise(ends)
-
-
 def variants(text: Column) -> Column:
     """raw, display and match text of one observation."""
     return F.struct(F.coalesce(text, F.lit("")).alias("raw_text"), display(text).alias("display_text"), match(text).alias("match_text"))

@@ -24,7 +24,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _boundaries(texts: pd.Series, fragments: pd.Series) -> pd.Series:
-    return pd.Series([text.boundaries(t or "", None if f is None else list(f)) for t, f in zip(texts, fragments)])
+    return pd.Series([None if t is None else text.boundaries(t, None if f is None else list(f)) for t, f in zip(texts, fragments)])
 
 
 def observations(frames: DataFrame, style: str = "line", votes: bool = True) -> DataFrame:
@@ -54,10 +54,8 @@ def observations(frames: DataFrame, style: str = "line", votes: bool = True) ->
     places = F.lit(None).cast("array<int>")
     if votes:
         split = F.contains("display_text", F.lit(" ")) | F.coalesce(F.size("fragments") > 1, F.lit(False))
-        # fragments, and blanks in long or non-ASCII texts, are counted in Python
-        easy, native = text.native_space_boundaries(F.col("display_text"))
-        easy &= F.coalesce(F.size("fragments") < 2, F.lit(True))
-        places = F.when(split & easy, native).when(split, _boundaries(F.when(split & ~easy, F.col("display_text")), "fragments"))
+        # Arrow-batched, and a fence: a native fold would be evaluated again wherever the column is used
+        places = _boundaries(F.when(split, F.col("display_text")), "fragments")
     return seen.withColumns({"confidence": numbers.observed_confidence(F.col("confidence"), default), "boundaries": places, "style": F.lit(style)}).drop("fragments")
 
 
