@@ -133,9 +133,14 @@ def medoids(members: DataFrame, group: str, order: str) -> DataFrame:
     texts = members.groupBy(group, "match_text").agg(F.count("*").alias("n"))
     faces = members.groupBy(group, "display_text").agg(F.min(F.struct(order, "match_text")).alias("first"), F.avg("confidence").alias("sure"))
     faces = faces.select(group, "display_text", F.col("first.match_text").alias("own"), F.col(f"first.{order}").alias("nth"), "sure")
-    cost = spread(faces, group).join(texts, group).groupBy(group, "display_text", "own", "nth", "sure").agg(F.sum(F.col("n") * F.levenshtein("own", "match_text")).alias("cost"))
+    # each pair of distinct texts is measured once and counts for both
+    left, right = (texts.select(group, F.col("match_text").alias(m), F.col("n").alias(n)) for m, n in (("a", "na"), ("b", "nb")))
+    pairs = spread(left, group).join(right, group).where("a < b").withColumn("d", F.levenshtein("a", "b"))
+    both = pairs.select(group, F.explode(F.array(F.struct(F.col("a").alias("own"), (F.col("d") * F.col("nb")).alias("cost")), F.struct(F.col("b").alias("own"), (F.col("d") * F.col("na")).alias("cost")))).alias("s"))
+    cost = both.groupBy(group, "s.own").agg(F.sum("s.cost").alias("cost"))
+    ranked = faces.join(cost, [group, "own"], "left").withColumn("cost", F.coalesce("cost", F.lit(0).cast("long")))
     rank = F.struct("cost", (-F.col("sure")).alias("s"), (-F.length("own")).alias("l"), "nth")
-    return cost.groupBy(group).agg(F.min_by("display_text", rank).alias("medoid"), F.min("cost").alias("total_distance"))
+    return ranked.groupBy(group).agg(F.min_by("display_text", rank).alias("medoid"), F.min("cost").alias("total_distance"))
 
 
 def boundary_votes(members: DataFrame, group: str) -> DataFrame:
