@@ -550,3 +550,8 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     assert not any("jane.doe" in x.text for x in pii.values()) and all(x.n_chars == len(x.text) for x in pii.values())
     same = sorted((x.doc_id, x.piece, x.length, x.ids_crc32) for x in docs.collect())
     assert same == sorted((x.doc_id, x.piece, x.length, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_an_id_with_two_texts_is_one_document_to_grouping(spark):
+    got = near_dedup.near_duplicates(documents(spark, ["a b c d e f", "u v w x y z", "a b c d e f"], [1, 1, 2]), size=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]

@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with fewer than ``size`` words are one shingle; empty or null texts
     have none and link with nothing.  A row whose id is null links with nothing
-    and is kept, with a null component.  Rows that repeat an id and its text
-    share a component.  An empty table gives an empty table.
+    and is kept, with a null component.  Rows that repeat an id share a component
+    and are kept or not together; should their texts differ, the smallest text
+    confirms the links.  An empty table gives an empty table.
     """
     bound_batches(docs.sparkSession)
     if not 1 <= percent <= 100:
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = reps.select("rep", F.explode("keys").alias("key"))
     buckets = materialize(rows_of.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = materialize(rows_of.join(buckets, "key"), "members")
-    texts = materialize(base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = materialize(base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     pairs = members.where("rep <> pivot").select("pivot", "rep").distinct()
     joined = pairs.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_b")), "rep")
