@@ -210,10 +210,10 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier keys as frames against those that lineitem uses."""
+    """Supplier keys as an index of frames against part keys as files."""
     name = lambda c: F.format_string("%06d.png", F.col(c))
     index = table(spark, sf_dir, "supplier").select(name("s_suppkey").alias("frame"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).otherwise(-1.0).alias("time"))
-    there = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 3").select(name("l_suppkey").alias("frame"))
+    there = table(spark, sf_dir, "part").select(name("p_partkey").alias("frame"))
     return media.frame_index_problems(index, there)
 
 
@@ -250,21 +250,25 @@ def parsed_lrc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Reference and candidate lines: all turns, and the turns but each third, slightly changed and late."""
-    t = turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("track_id"), "turn", "text")
-    reference = t.select("track_id", F.col("turn").cast("int").alias("line_index"), (F.col("turn") * 4.0).alias("timestamp"), "text")
-    kept = t.where("turn % 3 <> 2").withColumn("line_index", F.row_number().over(Window.partitionBy("track_id").orderBy("turn")) - 1)
+    """Reference and candidate lines of each conversation: the reference has a title line first, the candidate a
+    line of noise last; in between are all turns, the candidate's slightly changed and late."""
+    t = turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("track_id"), F.col("turn").cast("int").alias("turn"), "text")
+    tracks = t.groupBy("track_id").agg(F.max("turn").alias("last"))
+    title = tracks.select("track_id", F.lit(0).alias("line_index"), F.lit(0.0).alias("timestamp"), F.concat(F.lit("title "), "track_id").alias("text"))
+    reference = title.union(t.select("track_id", F.col("turn") + 1, F.col("turn") * 4.0 + 4, "text"))
     changed = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
-    return reference, kept.select("track_id", "line_index", (F.col("turn") * 4.0 + 0.5 + F.col("turn") % 4 * 0.4).alias("timestamp"), changed.alias("text"), F.col("turn").cast("int").alias("turn"))
+    noise = tracks.select("track_id", F.col("last") + 1, F.col("last") * 4.0 + 9, F.lit("~"))
+    candidate = t.select("track_id", F.col("turn").alias("line_index"), (F.col("turn") * 4.0 + 4.5 + F.col("turn") % 4 * 0.4).alias("timestamp"), changed.alias("text")).union(noise)
+    return reference, candidate
 
 
 def fixed_alignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     reference, candidate = sides(spark, sf_dir)
     left = reference.select("track_id", F.col("line_index").alias("reference_index"), text.evaluation(F.col("text")).alias("a"))
-    pairs = candidate.select("track_id", F.col("line_index").alias("candidate_index"), F.col("turn").alias("reference_index"), text.evaluation(F.col("text")).alias("b")).join(left, ["track_id", "reference_index"])
+    pairs = candidate.select("track_id", F.col("line_index").alias("candidate_index"), (F.col("line_index") + 1).alias("reference_index"), text.evaluation(F.col("text")).alias("b")).join(left, ["track_id", "reference_index"])
     pairs = observations.spread(pairs, "track_id").withColumn("edit_distance", F.levenshtein("a", "b"))
     aligned = pairs.select("track_id", "reference_index", "candidate_index", text.similarity(F.col("a"), F.col("b"), F.col("edit_distance")).alias("similarity"), "edit_distance")
-    return reference, candidate.drop("turn"), aligned
+    return reference, candidate, aligned
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +281,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report over the program's alignment."""
     reference, candidate = sides(spark, sf_dir)
-    return alignment.evaluate(reference, candidate.drop("turn"))[0]
+    return alignment.evaluate(reference, candidate)[0]
 
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,17 +61,20 @@ _EVALUATE = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[\\s]|[^\\PP&''#]|
 _BYTES = "translate({0}, 'àâäçèéêëîïíôöóùûüúñáœæ¿¡', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
 
 _SIDES = f"""
-turns AS (SELECT CAST(conv_id AS VARCHAR) AS track_id, turn, text FROM conversations),
-reference AS (SELECT track_id, CAST(turn AS INTEGER) AS line_index, turn * 4.0 AS timestamp, text FROM turns),
+turns AS (SELECT CAST(conv_id AS VARCHAR) AS track_id, CAST(turn AS INTEGER) AS turn, text FROM conversations),
+tracks AS (SELECT track_id, max(turn) AS last FROM turns GROUP BY track_id),
+reference AS (
+  SELECT track_id, 0 AS line_index, CAST(0 AS DOUBLE) AS timestamp, 'title ' || track_id AS text FROM tracks
+  UNION ALL SELECT track_id, turn + 1, turn * 4.0 + 4, text FROM turns
+),
 candidate AS (
-  SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY turn) - 1 AS INTEGER) AS line_index, turn * 4.0 + 0.5 + turn % 4 * 0.4 AS timestamp,
-         CASE WHEN turn % 2 = 1 THEN 'x' || text ELSE text END AS text, CAST(turn AS INTEGER) AS turn
-  FROM turns WHERE turn % 3 <> 2
+  SELECT track_id, turn AS line_index, CAST(turn * 4.0 + 4.5 + turn % 4 * 0.4 AS DOUBLE) AS timestamp, CASE WHEN turn % 2 = 1 THEN 'x' || text ELSE text END AS text FROM turns
+  UNION ALL SELECT track_id, last + 1, last * 4.0 + 9, '~' FROM tracks
 ),
 pairs AS (
   SELECT r.track_id, r.line_index AS reference_index, c.line_index AS candidate_index, r.text AS reference_text, c.text AS candidate_text, CAST(c.timestamp AS DOUBLE) - CAST(r.timestamp AS DOUBLE) AS raw_error,
          {_BYTES.format(_EVALUATE.format('r.text'))} AS a, {_BYTES.format(_EVALUATE.format('c.text'))} AS b
-  FROM reference r JOIN candidate c ON r.track_id = c.track_id AND r.line_index = c.turn
+  FROM reference r JOIN candidate c ON r.track_id = c.track_id AND r.line_index = c.line_index + 1
 )"""
 
 
@@ -179,7 +182,7 @@ SELECT p_partkey, l AS x, t AS y, w AS width, h AS height, bt AS bottom_y, CAST(
     "probes": """SELECT p_partkey, 2 AS stream_index, 'h264' AS codec_name, CASE WHEN p_partkey % 3 = 0 THEN 1080 ELSE p_size + 100 END AS display_width, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE 1080 END AS display_height,
 [270, 180, 0][p_partkey % 3 + 1] AS rotation, CASE WHEN p_partkey % 2 = 0 THEN CAST(printf('%.2f', p_retailprice) AS DOUBLE) ELSE 99.5 END AS duration, CASE WHEN p_partkey % 2 = 0 THEN 'stream' ELSE 'format' END AS duration_source,
 1.25 AS start_time, 'format' AS start_time_source, round(30000 / 1001, 6) AS average_frame_rate FROM part""",
-    "index_problems": """WITH i AS (SELECT format('{:06d}.png', s_suppkey) AS frame, s_acctbal FROM supplier), f AS (SELECT DISTINCT format('{:06d}.png', l_suppkey) AS frame FROM lineitem WHERE l_suppkey % 7 <> 3)
+    "index_problems": """WITH i AS (SELECT format('{:06d}.png', s_suppkey) AS frame, s_acctbal FROM supplier), f AS (SELECT DISTINCT format('{:06d}.png', p_partkey) AS frame FROM part)
 SELECT 'duplicate' AS problem, frame FROM i GROUP BY frame HAVING count(*) > 1 UNION ALL SELECT 'time', frame FROM i WHERE s_acctbal < 0
 UNION ALL SELECT 'missing file', frame FROM (SELECT frame FROM i EXCEPT SELECT frame FROM f) UNION ALL SELECT 'not listed', frame FROM (SELECT frame FROM f EXCEPT SELECT frame FROM i)""",
     "prepared_lines": f"{_PREPARED} SELECT track_id, CAST(line_no AS INTEGER) AS line_no, centiseconds, text, flags FROM prepared",
