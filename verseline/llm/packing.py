@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from verseline.llm.tables import bound_batches, materialize
 from verseline.llm.token_counts import loaded, share, text_parts
 
-RANKED = 1000
+RANKED = 256
 
 
 class Stock:
