@@ -477,6 +477,28 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(set(values)) == len(values) and not set(values) & set(rows)
 
 
+def test_small_shapes_have_surrogates_for_all(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{c}@b.com" for c in letters] + [f"{c.upper()}@B.com" for c in letters] + [f"+123{i:02d}" for i in range(100)] + [f"a:b::{c}:{d}" for c in "123456789abcdef" for d in letters[:6]] + [f"+1 23 {i}" for i in range(10, 60)]
+    got = [r.text for r in pii_surrogates.replace_entities(documents(spark, texts), "k").orderBy("doc_id").collect()]
+    mails, cased, phones, spaced = got[:26], got[26:52], got[52:152], got[-50:]
+    assert len(set(mails)) == 26 and all(re.fullmatch(r"[a-z]+@[a-z]\.com", m) for m in mails)
+    # an address in other case is the same entity, and what follows the name is whole
+    assert [c.lower() for c in cased] == mails and all(re.fullmatch(r"[a-z]*[A-Z]@[A-Z]\.com", c) for c in cased)
+    # a number has one surrogate whether or not it is spaced
+    assert len(set(phones)) == 100 and all(p[:2] == "+1" for p in phones) and not set(phones) & set(texts)
+    assert [p.replace(" ", "") for p in spaced] == phones[10:60]
+    assert len(set(got)) == 26 * 2 + 100 + 90 + 50 and all(re.fullmatch("|".join((pii_surrogates.EMAIL, pii_surrogates.IP6, pii_surrogates.PHONE)), g) for g in got)
+
+
+def test_a_full_address_range_goes_on_in_a_larger_one(spark):
+    rows = spark.range(256 * 254).selectExpr("'ip4' AS kind", "concat_ws('.', '192.168', id div 254, id % 254 + 1) AS norm")
+    got = pii_surrogates.assign(rows.union(spark.range(16).selectExpr("'ip6'", "concat('::', lower(hex(id)))")), "k").toPandas()
+    assert len(got) == 256 * 254 + 16 and got.value.is_unique and not set(got.value) & set(got.norm)
+    four = got[got.kind == "ip4"].value
+    assert four.str.match(r"10(\.\d+){3}$|192\.168(\.\d+){2}$").all()
+
+
 # 9
 
 

@@ -8,18 +8,25 @@ normalised entity, so an entity has one surrogate over the whole corpus.
 
 Distinctness is checked over all entities of the corpus: a surrogate that is
 some real entity, or that another entity already has, is drawn again with the
-next attempt number until none collides.  Tables of entities and surrogates
+next attempt number until none collides.  Where a shape has too few values for
+its entities, later attempts are longer (e-mails, phones, IPv6, names) or leave
+the address range for a larger one.  Tables of entities and surrogates
 stay distributed; each text with entities is rebuilt from a map of its own.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.tables import fresh, materialize
 
-MAX_ATTEMPTS = 24
+#: attempts in a row that may place nothing; as shapes grow, only a kind without any free value comes to this
+MAX_IDLE = 24
+#: the first attempt that may be longer than the entity, and those at which private addresses leave their range
+WIDER, WIDER_IP4, ANY_IP4 = 4, 16, 32
 
 _EDGE, _END = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -35,6 +42,8 @@ IBAN = f"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z]{{4}})?(?: ?[0-9]{{4}}){{3,7}}(?:
 CARD = f"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|3[47][0-9]{{2}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_END}"
 SSN = f"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}"
 PHONE = f"(?<![A-Za-z0-9+(])(?:[+][0-9]{{1,3}}(?:[ .-]?[(][0-9]{{1,4}}[)])?(?:[ .-]?[0-9]{{2,4}}){{2,5}}|[(][0-9]{{3}}[)] ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_END}"
+#: calling codes are prefix-free, so a number has one code however it is spaced
+COUNTRY_CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PERSON = f"(?<![\\p{{L}}-])(?:{MALE}|{FEMALE})[.]? (?:{_LATIN_NAME}(?: {_LATIN_NAME})?|{_CYRILLIC_NAME}(?: {_CYRILLIC_NAME})?)"
 ANY = "|".join((EMAIL, IP4, IP6, IBAN, CARD, SSN, PHONE, PERSON))
 #: what every match holds: it is far cheaper to look for a pair of digits, a sign or a title as plain text
@@ -84,7 +93,7 @@ def units(match: Column) -> Column:
     surname = F.element_at(words, -1)
     person = F.array(_unit(F.concat(F.lit("s:"), _script(surname)), F.lower(surname)))
     given = F.array(_unit(F.concat(gender, F.lit(":"), _script(surname)), F.lower(F.get(words, F.lit(1)))))
-    code = F.regexp_extract(match, "^[+]([0-9]{1,3})", 1)
+    code = F.when(match.startswith("+"), F.regexp_extract(digits(match), COUNTRY_CODE, 0)).otherwise("")
     phone = F.when(code != "", F.concat(F.lit("+"), code, F.lit("."), F.substr(digits(match), F.length(code) + 1))).otherwise(digits(match))
     norm = (
         F.when(kind.isin("email", "ip6"), F.lower(match))
@@ -155,8 +164,9 @@ def surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
 
     What lambdas use - hash streams, drafts without check digits - are columns
     of their own steps, so they are computed once per entity and not once per
-    character.
+    character.  From attempt WIDER on the space of values grows with the attempt.
     """
+    extra = max(0, attempt - WIDER + 1)
     kind, norm, stream = F.col("kind"), F.col("norm"), F.col("stream")
 
     def hashed(*what: Column) -> Column:
@@ -182,18 +192,29 @@ def surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     body = F.col("draft")
     step = step.withColumn("check", F.when(kind == "card", _luhn(body).cast("string")).when(kind == "iban", _iban_check(body)))
 
-    email = F.concat(_reshaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), _reshaped(F.col("host"), F.col("host_stream")), top)
+    # in front, so that the rest stays in line with the entity's end
+    more = F.substr(_letter_stream(F.sha2(F.concat("half", F.lit("more")), 512)), F.lit(1), F.lit(min(extra, 60)))
+    email = F.concat(more, _reshaped(F.substring_index(norm, "@", 1), stream), F.lit("@"), _reshaped(F.col("host"), F.col("host_stream")), top)
     octets = F.split(norm, "[.]")
     tail = [number(i).cast("string") for i in (1, 2)] + [(number(3) % 254 + 1).cast("string")]
-    ip4 = (
-        F.when(octets[0].isin("10", "127"), F.concat_ws(".", octets[0], *tail))
-        .when(norm.rlike("^(?:192[.]168|172[.](?:1[6-9]|2[0-9]|3[01]))[.]"), F.concat_ws(".", octets[0], octets[1], *tail[1:]))
-        .otherwise(F.concat_ws(".", (number(0) % 112 + 11).cast("string"), *tail))
-    )
-    groups = F.transform(F.split(norm, ":"), lambda g, i: F.substr(stream, i * 5 + 1, F.length(g)))
+    small = norm.rlike("^(?:192[.]168|172[.](?:1[6-9]|2[0-9]|3[01]))[.]")
+    public = F.concat_ws(".", (number(0) % 112 + 11).cast("string"), *tail)
+    if attempt < WIDER_IP4:
+        ip4 = F.when(octets[0].isin("10", "127"), F.concat_ws(".", octets[0], *tail)).when(small, F.concat_ws(".", octets[0], octets[1], *tail[1:])).otherwise(public)
+    elif attempt < ANY_IP4:
+        ip4 = F.when(octets[0].isin("10", "127") | small, F.concat_ws(".", F.lit("10"), *tail)).otherwise(public)
+    else:
+        ip4 = F.concat_ws(".", (number(0) % 223 + 1).cast("string"), *tail)
+    whole = lambda at: F.concat(F.translate(F.substr(stream, at, F.lit(1)), "0", "1"), F.substr(stream, at + 1, F.lit(3)))
+    groups = F.transform(F.split(norm, ":"), lambda g, i: F.when(g == "", "").otherwise(whole(i * 5 + 1)) if extra else F.substr(stream, i * 5 + 1, F.length(g)))
     ip6 = F.array_join(groups, ":")
+    if extra > 1:
+        # '::' stands for any number of groups, so some of them can be written out: seven groups at most
+        room = F.greatest(F.lit(0), F.least(F.lit(extra - 1), 7 - F.size(F.filter(groups, lambda g: g != ""))))
+        added = F.concat_ws(":", F.slice(F.array(*(whole(F.lit(61 + 5 * i)) for i in range(6))), F.lit(1), room))
+        ip6 = F.when(~norm.contains("::") | (room == 0), ip6).when(norm.endswith("::"), F.concat(ip6, added)).otherwise(F.concat_ws(":", ip6, added))
     code = F.when(norm.startswith("+"), F.instr(norm, ".")).otherwise(0)
-    phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(numerals, F.lit(1), F.length(norm) - code))
+    phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(numerals, F.lit(1), F.length(norm) - code + extra))
     check = F.col("check").cast("int")
     last = F.when(F.col("valid"), check).otherwise((check + 1 + _nibble(stream, F.lit(60)) % 9) % 10)
     card = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), last.cast("string"))
@@ -221,28 +242,35 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     base = materialize(entities.select("kind", "norm").distinct(), "entities")
     taken = base.select("kind", F.col("norm").alias("value"))
     waiting, accepted = base, None
-    for attempt in range(MAX_ATTEMPTS):
-        drawn = surrogates(waiting.repartition(1 + waiting.count() // EACH), key, attempt)
+    idle, left = 0, waiting.count()
+    for attempt in count():
+        drawn = surrogates(waiting.repartition(1 + left // EACH), key, attempt)
         won = materialize(drawn.join(taken, ["kind", "value"], "left_anti").groupBy("kind", "value").agg(F.min("norm").alias("norm")), "surrogates")
         accepted = won if accepted is None else accepted.unionByName(won)
         waiting = materialize(waiting.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "colliding")
-        if waiting.isEmpty():
+        before, left = left, waiting.count()
+        if not left:
             return accepted
+        idle = idle + 1 if left == before else 0
+        if idle == MAX_IDLE:
+            raise RuntimeError(f"no free value for {left} entities in {MAX_IDLE} attempts")
         taken = taken.union(won.select("kind", "value"))
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
 def _in_shape(found: Column) -> Column:
     """An entity's surrogate in the shape the entity is written in; found: struct of match, kind, values, one, digits."""
     match, kind, one = found["match"], found["kind"], found["one"]
-    mixed = F.array_join(F.transform(chars(match), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")
+    # a longer surrogate is in line with the match's end
+    ahead = F.greatest(F.lit(0), F.length(one) - F.length(match))
+    mixed = F.array_join(F.transform(chars(match), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(one, ahead + i + 1, F.lit(1)))).otherwise(F.substr(one, ahead + i + 1, F.lit(1)))), "")
+    mixed = F.concat(F.substr(one, F.lit(1), ahead), mixed)
     cased = F.when(match == F.lower(match), one).when(match == F.upper(match), F.upper(one)).otherwise(mixed)
 
     def laid(source: Column, kept: str) -> Column:
-        """The match with all runs but the kept ones replaced, in order, from the source."""
+        """The match with all runs but the kept ones replaced, in order, from the source; what is left of it follows."""
         runs = F.regexp_extract_all(match, F.lit(f"{kept}+|(?:(?!{kept}).)+"), 0)
         move = lambda s, run: F.when(run.rlike(f"^{kept}"), F.struct(F.concat(s["out"], run).alias("out"), s["i"].alias("i"))).otherwise(F.struct(F.concat(s["out"], F.substr(source, s["i"], F.length(run))).alias("out"), (s["i"] + F.length(run)).alias("i")))
-        return F.aggregate(runs, F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), move, lambda s: s["out"])
+        return F.aggregate(runs, F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), move, lambda s: F.concat(s["out"], F.substr(source, s["i"])))
 
     person = F.concat_ws(" ", F.array(F.substring_index(match, " ", 1)), F.transform(found["values"], F.initcap))
     shaped = F.when(kind.isin("email", "ip6"), cased).when(kind == "ip4", one).when(kind == "iban", laid(one, "[ ]")).when(kind == "card", F.when(match == digits(match), found["digits"]).otherwise(laid(found["digits"], "[ -]")))
