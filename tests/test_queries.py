@@ -33,3 +33,11 @@ def test_queries_equal_their_sql(spark, duck):
             want = duck.sql(oracle[name]).df()
             assert sorted(got.columns) == sorted(want.columns), name
             assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns)), name
+
+
+def test_boundary_votes_count_lines_that_occur_once(spark, tmp_path):
+    from verseline.plans import registry
+
+    spark.createDataFrame([("Ab cd\nx y",), ("ab  CD!\nabc d",), ("ab, cd",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["boundary_votes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("abcd", 2, 3, 4, 0.75)]

@@ -114,15 +114,16 @@ def turn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19-F21, A04 over all lines of all documents that agree in their match text."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
-    counted = observations.spread(lines.groupBy("text").agg(F.count("*").alias("n")).where("n > 1"), "text")
+    counted = observations.spread(lines.groupBy("text").agg(F.count("*").alias("n")), "text")
     # equal lines are one observation here; how many there are of it rides along as its index
     members = observations.observations(counted.select(F.lit("all").alias("track_id"), "text", F.col("n").alias("source_index")))
     votes = members.select("match_text", "boundaries", F.col("source_index").alias("n"))
-    size = votes.groupBy("match_text").agg(F.sum("n").alias("compatible_frames"))
+    # a place needs two votes, so only lines that agree with another one are cut into places
+    votes = votes.withColumn("compatible_frames", F.sum("n").over(Window.partitionBy("match_text"))).where("compatible_frames > 1")
     # not explode(): the filter that it implies would go below the count of equal lines and run on every line
-    each = votes.select("match_text", "n", F.explode_outer("boundaries").alias("position")).groupBy("match_text", "position").agg(F.sum("n").alias("votes"))
+    each = votes.select("match_text", "n", "compatible_frames", F.explode_outer("boundaries").alias("position")).groupBy("match_text", "compatible_frames", "position").agg(F.sum("n").alias("votes"))
     least = F.greatest(F.lit(2), F.ceil(F.col("compatible_frames") * 0.30))
-    return each.join(size, "match_text").where((F.col("votes") >= least) & (F.col("position") < F.length("match_text"))).select("match_text", "position", "votes", "compatible_frames", F.round(F.col("votes") / F.col("compatible_frames"), 6).alias("ratio"))
+    return each.where((F.col("votes") >= least) & (F.col("position") < F.length("match_text"))).select("match_text", "position", "votes", "compatible_frames", F.round(F.col("votes") / F.col("compatible_frames"), 6).alias("ratio"))
 
 
 def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
