@@ -171,6 +171,12 @@ def test_components_of_random_graphs(spark):
     assert got == {x: f.find(x) for x in f.parent if f.find(x) != x}
 
 
+def test_components_of_a_chain_over_partitions(spark):
+    # the first two rounds have equal counts, and after the second one node still has two roots
+    edges = spark.createDataFrame(spark.sparkContext.parallelize([(4, 1), (5, 4), (6, 5), (6, 2)], 4), "a long, b long")
+    assert sorted(map(tuple, near_dedup.components(edges).collect())) == [(2, 1), (4, 1), (5, 1), (6, 1)]
+
+
 # 3
 
 

@@ -214,7 +214,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     stars = edges.mapInArrow(_contract, "a long, b long")
     current = materialize(stars.distinct(), "edges")
-    before = None
     for _ in range(MAX_ROUNDS):
         # now a > b in each row; done when no row's b is some row's a and each a has one row
         state = current.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
@@ -228,9 +227,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         current = materialize(small.where("a <> b").distinct(), "edges")
-        if (state.n, state.k) == before and not open_ends:
-            break
-        before = (state.n, state.k)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
