@@ -3,17 +3,21 @@
 Each partition cuts its documents into shards of about ``SHARD`` words and
 builds a word-level suffix array of each, by prefix doubling to a depth of at
 least the window.  Every suffix of the benchmark items is binary-searched in
-every shard, all of them at once: window occurrences are suffix-array ranges,
-and the neighbours of an insertion point give the longest verbatim match and
-its place.  Shards are independent, so nothing of the corpus is shuffled.
-
-The benchmark is broadcast in blocks of at most ``BLOCK`` words; a larger one
-takes several passes in one stage, each with its own block.
+every shard, all of them at once: the occurrences of its window are a range of
+the suffix array.  From each of them the suffix array of the benchmark, searched
+the other way round, gives the longest verbatim match and where it stands on
+both sides.  Shards are independent, so nothing of the corpus is shuffled.
+
+The benchmark is broadcast in blocks of about ``BLOCK`` words, at most
+``BLOCKS`` of them at once; a worker holds one block at a time and walks all of
+them for each shard it has built.  A larger benchmark takes a further pass for
+each ``BLOCKS`` blocks, with the result so far written in between.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import ALNUM, Words, slices, strings
-from verseline.llm.tables import bound_batches
+from verseline.llm.tables import bound_batches, materialize
 
 SHARD = 1 << 18
-BLOCK = 2_000_000
+#: a block is about 32 MB
+BLOCK, BLOCKS = 1_000_000, 16
 
 
 class SuffixArray:
@@ -94,53 +99,25 @@ class SuffixArray:
         return lo
 
 
-class Items(NamedTuple):
-    """Benchmark items: their words' hashes end to end, each item's range, names as text."""
-
-    hashes: np.ndarray
-    bounds: np.ndarray
-    names: list[str]
-
-
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, Words]]:
     data, offsets = strings(column)
     for lo, hi in slices(offsets):
         yield lo, Words(data, offsets[lo : hi + 1], ALNUM)
 
 
-def load_items(bench: DataFrame, id_col: str, text_col: str) -> list[Items]:
-    """The benchmark in blocks; it is read by partition, not all at once."""
-    out: list[Items] = []
-    hashes: list[np.ndarray] = []
-    sizes: list[int] = []
-    names: list[str] = []
-
-    def close() -> None:
-        if names:
-            out.append(Items(np.concatenate(hashes), np.concatenate(([0], np.cumsum(sizes))), list(names)))
-        hashes.clear(), sizes.clear(), names.clear()
-
-    for row in bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        for _, words in word_hashes(pa.array([row.t], pa.string())):
-            if len(words.hashes):
-                hashes.append(words.hashes)
-                sizes.append(len(words.hashes))
-                names.append(row.i if row.i is not None else "")
-        if sum(sizes) >= BLOCK:
-            close()
-    close()
-    return out
-
-
 class Shard:
+    """The suffix array of some texts' words."""
+
     def __init__(self, parts: list[np.ndarray], depth: int | None):
         sizes = np.array([len(p) for p in parts], np.int64)
-        hashes = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint64)
-        self.words, ids = np.unique(hashes, return_inverse=True)
-        #: where each document's words start; a zero stands after each
+        self.hashes = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint64)
+        self.words, ids = np.unique(self.hashes, return_inverse=True)
+        #: where each text's words start; a zero stands after each
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        tokens = np.zeros(int(self.starts[-1]), np.int32)
-        tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(parts)), sizes)] = 2 * ids + 2
+        #: where each word stands
+        self.at = np.arange(len(self.hashes)) + np.repeat(np.arange(len(parts)), sizes)
+        tokens = np.zeros(int(self.starts[-1]) + (not len(parts)), np.int32)
+        tokens[self.at] = 2 * ids + 2
         self.array = SuffixArray(tokens, depth)
 
     def translate(self, hashes: np.ndarray) -> np.ndarray:
@@ -149,6 +126,42 @@ class Shard:
         known = self.words[np.minimum(at, len(self.words) - 1)] == hashes if len(self.words) else np.zeros(len(hashes), bool)
         return np.where(known, 2 * at + 2, 2 * at + 1).astype(np.int32)
 
+    def place(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word in it) of token places."""
+        text = np.searchsorted(self.starts, tokens, "right") - 1
+        return text, tokens - self.starts[text]
+
+
+class Items(NamedTuple):
+    """Benchmark items: their words' hashes end to end, each item's range, names as text, and their own suffix array."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+    names: list[str]
+    index: Shard
+
+
+def load_items(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+    """The benchmark in blocks; it is read by partition, not all at once."""
+    hashes: list[np.ndarray] = []
+    names: list[str] = []
+    held = 0
+
+    def block() -> Items:
+        return Items(np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(h) for h in hashes], dtype=np.int64))), list(names), Shard(hashes, None))
+
+    for row in bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+        for _, words in word_hashes(pa.array([row.t], pa.string())):
+            if len(words.hashes):
+                hashes.append(words.hashes)
+                names.append(row.i if row.i is not None else "")
+                held += len(words.hashes)
+        if held >= BLOCK:
+            yield block()
+            hashes, names, held = [], [], 0
+    if names:
+        yield block()
+
 
 def windows(items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, words, item) of every window."""
@@ -159,8 +172,11 @@ def windows(items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return items.bounds[owner] + nth, np.minimum(size, lengths[owner]), owner
 
 
-def occurrences(shard: Shard, items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token place, words, item) of every occurrence of a window in the shard."""
+def occurrences(shard: Shard, items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(token place, words, window) of every occurrence of a window in the shard, and each window's items.
+
+    Windows that read alike are one, so there are at most as many occurrences as words for each window length.
+    """
     ids = np.concatenate((shard.translate(items.hashes), np.ones(size, np.int32)))
     start, length, owner = windows(items, size)
     some = (ids[start] & 1) == 0
@@ -171,45 +187,84 @@ def occurrences(shard: Shard, items: Items, size: int) -> tuple[np.ndarray, np.n
     queries, length, owner = queries[some], length[some], owner[some]
     lo = shard.array.search(queries, length, False)
     hi = shard.array.search(queries, length, True)
-    n = hi - lo
+    found = lo < hi
+    lo, hi, length, owner = lo[found], hi[found], length[found], owner[found]
+    _, first, group = np.unique(lo * (size + 1) + length, return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    owners = np.split(owner[order], np.cumsum(np.bincount(group))[:-1]) if len(group) else []
+    lo, length, n = lo[first], length[first], (hi - lo)[first]
     flat = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return shard.array.order[flat], np.repeat(length, n), np.repeat(owner, n)
+    return shard.array.order[flat], np.repeat(length, n), np.repeat(np.arange(len(n)), n), [np.unique(o) for o in owners]
 
 
-def longest(shard: Shard, items: Items, least: int, width: int = 16) -> list[tuple[int, int, int, int, int]]:
-    """(item, word, document, word there, words): a longest verbatim match of each item suffix with a wholly sorted shard.
+#: words that are compared at a time
+WIDTH = 16
 
-    Queries are compared ``width`` words at a time, each time within the places that agree so far.
-    """
-    ids = np.concatenate((shard.translate(items.hashes), np.ones(1, np.int32)))
-    owner = np.repeat(np.arange(len(items.names)), np.diff(items.bounds))
-    stop = items.bounds[owner + 1]
-    start = np.arange(len(owner))
-    place = np.zeros(len(owner), np.int64)
-    lo, hi = np.zeros(len(owner), np.int64), np.full(len(owner), len(shard.array.order), np.int64)
-    todo, skip = start, 0
+
+def _chunk(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, skip: int) -> np.ndarray:
+    """The next WIDTH ids of each query; beyond its end stands 1, which no word has."""
+    at = start[:, None] + skip + np.arange(WIDTH)
+    return np.where(at < stop[:, None], ids[np.minimum(at, len(ids) - 1)], 1)
+
+
+def reach(index: Shard, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, token place): a longest match of each ids[start:stop] with a wholly sorted index; 0 words without any."""
+    place = np.zeros(len(start), np.int64)
+    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(index.array.order), np.int64)
+    todo, skip = np.arange(len(start)), 0
     while len(todo):
-        at = start[todo][:, None] + skip + np.arange(width)
-        # beyond an item's end stands 1, which no word has
-        queries = np.where(at < stop[todo][:, None], ids[np.minimum(at, len(ids) - 1)], 1)
-        sizes = np.full(len(todo), width)
+        queries, sizes = _chunk(ids, start[todo], stop[todo], skip), np.full(len(todo), WIDTH)
         within = lo[todo], hi[todo]
-        lo[todo], hi[todo] = shard.array.search(queries, sizes, False, within, skip), shard.array.search(queries, sizes, True, within, skip)
+        lo[todo], hi[todo] = index.array.search(queries, sizes, False, within, skip), index.array.search(queries, sizes, True, within, skip)
         place[todo] = lo[todo]
-        todo, skip = todo[lo[todo] < hi[todo]], skip + width
-    order, tokens = shard.array.order, shard.array.tokens
-    out = []
-    for s, p in enumerate(place.tolist()):
-        best = (0, 0)
-        for q in (p - 1, p):
-            if 0 <= q < len(order):
-                at, k = int(order[q]), 0
-                while s + k < stop[s] and tokens[at + k] == ids[s + k]:
-                    k += 1
-                best = max(best, (k, -at))
-        if best[0] >= least:
-            doc = int(np.searchsorted(shard.starts, -best[1], "right")) - 1
-            out.append((int(owner[s]), s - int(items.bounds[owner[s]]), doc, -best[1] - int(shard.starts[doc]), best[0]))
+        todo, skip = todo[lo[todo] < hi[todo]], skip + WIDTH
+    best, where = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    order, tokens = index.array.order, index.array.tokens
+    for beside in (place - 1, place):
+        inside = (beside >= 0) & (beside < len(order))
+        at = order[np.clip(beside, 0, len(order) - 1)]
+        words = np.zeros(len(start), np.int64)
+        todo, skip = np.flatnonzero(inside), 0
+        while len(todo):
+            have = tokens[np.minimum(at[todo][:, None] + skip + np.arange(WIDTH), len(tokens) - 1)]
+            same = (have == _chunk(ids, start[todo], stop[todo], skip)).cumprod(axis=1).sum(axis=1)
+            words[todo] += same
+            todo, skip = todo[same == WIDTH], skip + WIDTH
+        better = (words > best) | (words == best) & (at < where)
+        best, where = np.where(better, words, best), np.where(better, at, where)
+    return best, where
+
+
+def every_place(index: Shard, ids: np.ndarray, start: int, words: int) -> np.ndarray:
+    """All token places of the index where ids[start : start + words] stands."""
+    lo, hi = np.zeros(1, np.int64), np.full(1, len(index.array.order), np.int64)
+    for skip in range(0, words, WIDTH):
+        size = np.array([min(WIDTH, words - skip)])
+        queries = _chunk(ids, np.array([start]), np.array([start + words]), skip)
+        lo, hi = index.array.search(queries, size, False, (lo, hi), skip), index.array.search(queries, size, True, (lo, hi), skip)
+    return index.array.order[lo[0] : hi[0]]
+
+
+def longest_of_texts(shard: Shard, items: Items, size: int, places: np.ndarray, length: np.ndarray, window: np.ndarray, owners: list[np.ndarray]) -> dict[int, tuple[int, int, str, int]]:
+    """For each text with an occurrence: (words, word in the text, item, word in the item) of its longest verbatim match
+    of at least a window; of equal ones the first in the text, then in the first item by name, then first in the item."""
+    ids = np.ones(len(shard.array.tokens), np.int32)
+    ids[shard.at] = items.index.translate(shard.hashes)
+    text, at = shard.place(places)
+    words, _ = reach(items.index, ids, places, shard.starts[text + 1] - 1)
+    # a match of less than the full window counts only as a whole short item
+    words = np.where(words >= size, words, length)
+    order = np.lexsort((at, -words, text))
+    order = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))] if len(order) else order
+    out = {}
+    for i in order.tolist():
+        if words[i] >= size:
+            item, word = items.index.place(every_place(items.index, ids, int(places[i]), int(words[i])))
+        else:
+            item = owners[window[i]]
+            word = np.zeros(len(item), np.int64)
+        name, word = min((items.names[a], b) for a, b in zip(item.tolist(), word.tolist()))
+        out[int(text[i])] = (int(words[i]), int(at[i]), name, word)
     return out
 
 
@@ -239,27 +294,42 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _mark(shared, size: int):
+LONGEST = "struct<words:long,doc_word:long,item:string,item_word:long>"
+_LONGEST = pa.struct([("words", pa.int64()), ("doc_word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
+
+
+def _mark(blocks: list, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, shard, counts in shards(batches, 1, size):
-            items: Items = shared.value
-            places, length, owner = occurrences(shard, items, size)
             spans: dict[int, list] = {}
             names: dict[int, set] = {}
-            if len(places):
-                doc = np.searchsorted(shard.starts, places, "right") - 1
-                at = places - shard.starts[doc]
-                for d, a, n in set(zip(doc.tolist(), at.tolist(), length.tolist())):
-                    spans.setdefault(d, []).append((a, a + n))
-                for d, o in set(zip(doc.tolist(), owner.tolist())):
-                    names.setdefault(d, set()).add(items.names[o])
-            before_spans, before_names = (rows.column(i).to_pylist() for i in (3, 4))
-            all_spans, all_names = [], []
-            for i, (old, known) in enumerate(zip(before_spans, before_names)):
+            best: dict[int, tuple] = {}
+            for shared in blocks:
+                items: Items = shared.value
+                places, length, window, owners = occurrences(shard, items, size)
+                if len(places):
+                    doc, at = shard.place(places)
+                    for d, a, n in set(zip(doc.tolist(), at.tolist(), length.tolist())):
+                        spans.setdefault(d, []).append((a, a + n))
+                    met: dict[int, list] = {}
+                    for d, w in set(zip(doc.tolist(), window.tolist())):
+                        met.setdefault(d, []).append(owners[w])
+                    for d, parts in met.items():
+                        names.setdefault(d, set()).update(items.names[o] for o in np.unique(np.concatenate(parts)).tolist())
+                    for d, found in longest_of_texts(shard, items, size, places, length, window, owners).items():
+                        best[d] = min(best.get(d, found), found, key=lambda m: (-m[0], *m[1:]))
+                del items
+                if len(blocks) > 1:
+                    # the next reading loads it again, so that one block is held at a time
+                    vars(shared).pop("_value", None)
+            all_spans, all_names, all_best = [], [], []
+            for i, (old, known, won) in enumerate(zip(*(rows.column(k).to_pylist() for k in (3, 4, 5)))):
                 old = old or []
                 all_spans.append(_merge(spans.get(i, []) + list(zip(old[::2], old[1::2]))))
                 all_names.append(sorted(names.get(i, set()) | set(known or [])))
-            columns = [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_names, pa.list_(pa.string())), *(rows.column(i) for i in range(5, rows.num_columns))]
+                found = [m for m in (best.get(i), won and tuple(won.values())) if m]
+                all_best.append(dict(zip(_LONGEST.names, min(found, key=lambda m: (-m[0], *m[1:])))) if found else None)
+            columns = [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_names, pa.list_(pa.string())), pa.array(all_best, _LONGEST), *(rows.column(i) for i in range(6, rows.num_columns))]
             yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
 
     return run
@@ -267,28 +337,46 @@ def _mark(shared, size: int):
 
 def _marked(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, keep: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    blocks = load_items(bench, item_col, item_text_col) or [Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [])]
-    base = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items")]
+    sc = docs.sparkSession.sparkContext
+    base = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(LONGEST).alias("longest")]
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     if keep and rest:
         base.append(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
     out = docs.select(*base)
-    for block in blocks:
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(block), size), out.schema)
+    blocks = load_items(bench, item_col, item_text_col)
+    held: list = []
+    while True:
+        # blocks go to the workers as they are read; the driver's own copy is dropped
+        shared = [_share(sc, block) for block in islice(blocks, BLOCKS)]
+        if held and not shared:
+            break
+        if held:
+            out = materialize(out, "marked")
+            for one in held:
+                one.unpersist()
+        held = shared or [_share(sc, Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [], Shard([], None)))]
+        out = out.mapInArrow(_mark(held, size), out.schema)
     return out.withColumn("n_hit", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"]))
 
 
+def _share(sc, block: Items):
+    shared = sc.broadcast(block)
+    vars(shared).pop("_value", None)
+    return shared
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, spans (word ranges, flat), items (names, sorted as text).
+    """Per row of docs: doc_id, n_words, n_hit, spans (word ranges, flat), items (names, sorted as text), longest (the
+    longest verbatim match of a window or more: words, doc_word, item, item_word; null without one).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
     lower-cased.  A window is ``size`` consecutive words of an item, or all words
     of a shorter item.  Null and empty texts have no words; null or empty items
-    no window; a null item id reads as "".
+    no window; a null item id reads as "".  Rows that repeat stay; empty tables
+    give an empty table or rows without hits.
     """
     out = _marked(docs, bench, id_col, text_col, item_col, item_text_col, size, False)
-    return out.select("doc_id", "n_words", "n_hit", "spans", "items")
+    return out.select("doc_id", "n_words", "n_hit", "spans", "items", "longest")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13) -> DataFrame:
@@ -305,25 +393,42 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 5) -> DataFrame:
     """(item_id, item_word, doc_id, doc_word, words): for each item suffix one longest verbatim match in docs of
-    at least ``least`` words; of those found in different shards the longest, then that with the smallest doc_id and word."""
+    at least ``least`` words; of those found in different shards the longest, then that with the smallest doc_id and word.
+
+    Each ``BLOCKS`` blocks of the benchmark are one pass over docs.
+    """
     bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    out = None
-    for block in load_items(bench, item_col, item_text_col) or [Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [])]:
-        shared = spark.sparkContext.broadcast(block)
+    schema = f"item_id string, item_word long, doc_id {kind}, doc_word long, words long"
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def find(blocks: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, shard, _ in shards(batches, 1, None):
-                found = longest(shard, shared.value, least)
-                if found:
-                    item, word, doc, at, n = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shared.value.names[i] for i in item], pa.string()), pa.array(word, pa.int64()), rows.column(0).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
-                        names=["item_id", "item_word", "doc_id", "doc_word", "words"],
-                    )
-
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id string, item_word long, doc_id {kind}, doc_word long, words long")
-        out = part if out is None else out.union(part)
+                for shared in blocks:
+                    items: Items = shared.value
+                    start = np.arange(len(items.hashes))
+                    item = np.repeat(np.arange(len(items.names)), np.diff(items.bounds))
+                    words, place = reach(shard, np.append(shard.translate(items.hashes), np.int32(1)), start, items.bounds[item + 1])
+                    some = words >= least
+                    doc, at = shard.place(place[some])
+                    columns = [pa.array([items.names[i] for i in item[some].tolist()], pa.string()), pa.array((start - items.bounds[item])[some]), rows.column(0).take(pa.array(doc)), pa.array(at), pa.array(words[some])]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    del items
+                    if len(blocks) > 1:
+                        vars(shared).pop("_value", None)
+
+        return run
+
+    out = docs.sparkSession.createDataFrame([], schema)
+    blocks = load_items(bench, item_col, item_text_col)
+    while shared := [_share(sc, block) for block in islice(blocks, BLOCKS)]:
+        part = base.mapInArrow(find(shared), schema)
+        part = part.groupBy("item_id", "item_word").agg(F.min(F.struct(-F.col("words"), "doc_id", "doc_word")).alias("m"))
+        out = out.union(materialize(part.select("item_id", "item_word", "m.doc_id", "m.doc_word", (-F.col("m.col1")).alias("words")), "matches"))
+        for one in shared:
+            one.unpersist()
     best = out.groupBy("item_id", "item_word").agg(F.min(F.struct(-F.col("words"), "doc_id", "doc_word")).alias("m"))
     return best.select("item_id", "item_word", "m.doc_id", "m.doc_word", (-F.col("m.col1")).alias("words"))
