@@ -17,8 +17,6 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
-_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,15 +36,15 @@ def stream64(n: int, seed: int) -> np.ndarray:
 
 _BYTE_CODES = stream64(256, 7)
 _WORD_CODES = stream64(64, 8) | np.uint64(1)
+_places = [stream64(256, 9) | np.uint64(1)]
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INV)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[i] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+def _place_codes(n: int) -> np.ndarray:
+    """A random odd factor for each place in a word.  As they are independent of each other, no two words agree by their
+    make-up, as they do under a polynomial (whose factors are powers of one number)."""
+    if len(_places[0]) < n:
+        _places[0] = stream64(2 * n, 9) | np.uint64(1)
+    return _places[0]
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +87,7 @@ ALNUM = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LOWER_CODES = _BYTE_CODES[LOWER]
 
 
 class Words:
@@ -111,10 +110,13 @@ class Words:
         cuts = cuts[(cuts > 0) & (cuts < n)]
         flag[cuts] = inside[cuts - 1]
         self.ends = np.flatnonzero(flag)
-        power, inverse = _powers_to(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[LOWER[buf]] * power[:n], out=total[1:])
-        self.hashes = mix64((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        sizes = self.ends - self.starts
+        held = np.flatnonzero(inside)
+        place = held - np.repeat(self.starts, sizes)
+        total = np.zeros(len(held) + 1, np.uint64)
+        np.cumsum(_LOWER_CODES[buf[held]] * _place_codes(int(sizes.max(initial=0)))[place], out=total[1:])
+        stop = np.cumsum(sizes)
+        self.hashes = mix64(total[stop] - total[stop - sizes])
         #: text i has the words bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offs)
 
