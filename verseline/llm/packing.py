@@ -12,7 +12,8 @@ about ``capacity`` patterns.
 
 Documents then find their place by rank: pieces of one length are numbered,
 and the plan says which sequence and offset a number has.  Frequent lengths
-are salted, so no task numbers more than about ``RANKED`` pieces of a length.
+are salted, so no task numbers more than about ``RANKED`` pieces of a length, or
+a ``SALTS``-th of all pieces if that is more.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from verseline.llm.tables import bound_batches, materialize
 from verseline.llm.token_counts import loaded, share, text_parts
 
-RANKED = 256
+#: pieces that a salt numbers at least, and salts of all lengths at most: what is broadcast of them does not grow
+RANKED, SALTS = 256, 65_536
 
 
 class Stock:
@@ -129,7 +131,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     """(doc_id, row_key, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into
     pieces of ``capacity``; a null text is empty and gives the end id alone."""
     bound_batches(docs.sparkSession)
-    shared = share(docs.sparkSession, path)
+    shared = share(docs, path, text_col)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,8 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
     spark = cut.sparkSession
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     where = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    parts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, parts long")
+    each = max(RANKED, sum(histogram.values()) // SALTS)
+    parts = spark.createDataFrame([(k, -(-n // each)) for k, n in histogram.items()], "length long, parts long")
     salted = cut.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("row_key", "piece"), "parts")).drop("parts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")

@@ -27,7 +27,9 @@ def tokenizer_path() -> str:
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.telephony import read_audio, store_text_audio
 
-    return read_audio(store_text_audio(table(spark, sf_dir, "documents")))
+    read = read_audio(store_text_audio(table(spark, sf_dir, "documents")), keep_pcm=True)
+    # the digest of the resampled audio is taken from the column that stores it
+    return read.withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm", "error")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
     items = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), is_contaminated().alias("contaminated"), *(F.col(f"longest.{c}").alias(f"longest_{c}") for c in ("words", "doc_word", "item", "item_word")))
 
 
 def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +95,19 @@ def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
 
 
-#: the key is a parameter of production runs; any secret string does
+#: the key of runs whose session names none
 PII_KEY = "verseline-surrogates-1"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret that surrogates are drawn with: the session's spark.verseline.pii.key."""
+    return spark.conf.get("spark.verseline.pii.key", PII_KEY)
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verseline.llm.pii_surrogates import replace_entities
 
-    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    out = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 
@@ -112,6 +119,41 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({**counts, "base_sha256": F.sha2(joined("spans", base_only=True), 256)}).withColumn("spans", joined("spans"))
 
 
+def _found(kind: int, pattern: str, value: str = "m[i]", least: int = 1) -> str:
+    """SQL for a pattern's matches: a match starts behind all the pieces and matches before it."""
+    starts = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT rk, {kind} AS k, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(s := CAST({starts} AS INTEGER), e := CAST({starts} + length(m[i]) AS INTEGER), v := {value.format(pattern=pattern)}))) AS c, {least} AS least
+  FROM (SELECT rk, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM texts)"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+_KEYWORDS = "|".join([*map(_either_case, ("password", "passwd", "secret", "token")), _either_case("api") + "_?" + _either_case("key")])
+_KEY_MARK = "-----{} [A-Z ]{{0,40}}PRIVATE KEY-----"
+_CANDIDATES = "\n  UNION ALL ".join(
+    (
+        _found(0, f"""(?:{_KEYWORDS})["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+""", f"""regexp_extract(m[i], '^(?:{_KEYWORDS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)""".replace("{", "{{").replace("}", "}}"), 6),
+        _found(1, "AKIA[A-Z0-9]+", least=20),
+        _found(2, "[0-9a-f]{24,}"),
+        _found(3, _KEY_MARK.format("BEGIN") + "[A-Za-z0-9+/=\\x20\\t\\r\\n]*" + _KEY_MARK.format("END")),
+        _found(4, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+    )
+)
+_SPAN = "string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
+
+OP9_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, row_number() OVER () AS rk FROM documents),
+found AS ({_CANDIDATES}),
+candidates AS (SELECT rk, k, c.s AS s, c.e AS e, c.v AS v FROM found WHERE length(c.v) >= least),
+owners AS (SELECT v, count(DISTINCT owner) AS n FROM candidates JOIN texts USING (rk) GROUP BY v),
+spans AS (SELECT rk, k, s, e FROM candidates UNION SELECT rk, CASE WHEN n <= 1 THEN 5 ELSE 6 END, s, e FROM candidates JOIN owners USING (v)),
+named AS (SELECT *, ['assign', 'access', 'hex', 'key', 'jwt', 'live', 'example'][k + 1] AS name FROM spans),
+rows AS (SELECT rk, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS h, {_SPAN} FILTER (k < 3) AS base, {_SPAN} AS every FROM named GROUP BY rk)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM texts LEFT JOIN rows USING (rk)
+"""
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -133,15 +175,18 @@ _WORDS = "regexp_extract_all({0}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 OP6_SQL = f"""
 WITH docs AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 items AS (SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
-bench AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS win FROM items WHERE len(w) > 0),
-windows AS (SELECT DISTINCT n, win FROM bench),
+cuts AS (SELECT item_id, least(13, len(w)) AS n, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS ipos FROM items WHERE len(w) > 0),
+bench AS (SELECT CAST(item_id AS VARCHAR) AS name, n, ipos, array_to_string(w[ipos:ipos + n - 1], ' ') AS win FROM cuts),
 places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM docs, (SELECT DISTINCT n FROM bench) WHERE len(w) >= n),
-hits AS (SELECT p.doc_id, p.pos, p.n, v.win FROM (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS win FROM places) p JOIN windows v ON v.n = p.n AND v.win = p.win),
+hits AS (SELECT p.doc_id, p.pos, p.n, b.name, b.ipos FROM (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS win FROM places) p JOIN bench b ON b.n = p.n AND b.win = p.win),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT h.doc_id, CAST(b.item_id AS VARCHAR) AS name FROM hits h JOIN bench b ON b.n = h.n AND b.win = h.win) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY doc_id),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, name, n, pos - ipos ORDER BY pos) AS run FROM hits),
+matches AS (SELECT doc_id, name, CAST(count(*) + n - 1 AS BIGINT) AS words, min(pos) - 1 AS doc_word, min(ipos) - 1 AS item_word FROM runs GROUP BY doc_id, name, n, pos - ipos, run),
+longest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_word, name, item_word) = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, m.words AS longest_words, m.doc_word AS longest_doc_word, m.name AS longest_item, m.item_word AS longest_item_word
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id LEFT JOIN longest m ON m.doc_id = d.doc_id
 """
 
 
@@ -167,4 +212,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_suffix_decontamination": OP6_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_suffix_decontamination": OP6_SQL, "op9_secret_ownership": OP9_SQL}

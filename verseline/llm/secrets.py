@@ -79,13 +79,29 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
     return base.mapInArrow(run, f"doc_id {kind}, repo string, owner string, row_key long, spans array<{SPAN}>")
 
 
+#: places from which on a value is hot, and how many hot values are broadcast at most (some 10 MB)
+HOT, MOST_HOT = 10_000, 100_000
+
+
 def ownership(found: DataFrame, most_owners: int) -> DataFrame:
-    """(hash, repos, owners, live) over the whole corpus; a null repository or owner counts as one of its own."""
-    each = found.select(F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans.hash").alias("hash")).distinct()
-    each = each.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
+    """(hash, places, repos, owners, live) over the whole corpus; a null repository or owner counts as one of its own."""
+    each = found.select(F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans.hash").alias("hash"))
+    each = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("places"))
+    each = each.groupBy("hash").agg(F.sum("places").alias("places"), F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     return each.withColumn("live", F.col("owners") <= most_owners)
 
 
+def _with_verdict(each: DataFrame, status: DataFrame) -> DataFrame:
+    """each (row_key, start, kind, end, hash) with its hash's live."""
+    least = HOT
+    while status.where(F.col("places") > least).count() > MOST_HOT:
+        least *= 4
+    hot = F.broadcast(status.where(F.col("places") > least).select("hash", "live"))
+    rest = status.where(F.col("places") <= least).select("hash", "live")
+    cold = each.join(hot.select("hash"), "hash", "left_anti").join(rest, "hash")
+    return cold.unionByName(each.join(hot, "hash"))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
     """Per row of docs: doc_id and spans, an array of (start, kind, end, hash) sorted by start and kind.
 
@@ -95,9 +111,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col), "candidates")
     some = found.where(F.size("spans") > 0)
-    status = materialize(ownership(some, most_owners).select("hash", "live"), "ownership")
+    status = materialize(ownership(some, most_owners).select("hash", "places", "live"), "ownership")
     each = some.select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*")
-    each = each.join(status, "hash")
+    each = _with_verdict(each, status)
     live, example = (F.lit(KINDS.index(k)) for k in ("live", "example"))
     verdict = F.struct("start", F.when(F.col("live"), live).otherwise(example).cast("int").alias("kind"), "end", "hash")
     marks = each.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct("start", "kind", "end", "hash"), verdict))))).alias("all_spans"))

@@ -34,6 +34,8 @@ STEP_SIZES = np.array(
 )
 PAD = 64
 RATE = 8000
+#: rates of samples that are read; others are taken for damage
+LEAST_RATE, MOST_RATE = 1000, 384_000
 
 
 def mulaw_table() -> np.ndarray:
@@ -101,9 +103,13 @@ def parse_wave(media: bytes) -> tuple[int, int, int, memoryview]:
     while at + 8 <= len(view):
         name, size = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
         if name == b"fmt ":
+            if size < 16 or at + 24 > len(view):
+                raise ValueError("damaged WAVE file")
             form = struct.unpack_from("<HHIIHH", view, at + 8)
             if form[1] != 1:
                 raise ValueError("only mono is supported")
+            if not LEAST_RATE <= form[2] <= MOST_RATE:
+                raise ValueError(f"rate of {form[2]}")
         elif name == b"data":
             if form is None or at + 8 + size > len(view):
                 raise ValueError("damaged WAVE file")
@@ -121,8 +127,12 @@ def decode(media: bytes) -> tuple[np.ndarray, int]:
     if kind == ALAW:
         return ALAW_PCM[raw], rate
     if kind == PCM and block == 2:
+        if len(raw) % 2:
+            raise ValueError("half a sample")
         return raw.view("<i2"), rate
     if kind == IMA_ADPCM:
+        if block < 5:
+            raise ValueError(f"ADPCM blocks of {block} bytes")
         return adpcm_blocks(raw[: len(raw) // block * block].reshape(-1, block)).reshape(-1), rate
     raise ValueError(f"unknown format {kind}")
 
@@ -183,20 +193,24 @@ def store_text_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-AUDIO_SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+AUDIO_SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def read_audio(stored: DataFrame, rate: int = 16000, keep_pcm: bool = False) -> DataFrame:
-    """Reads media back: digests of the stored samples, a feature string, and if asked the resampled PCM file.
+    """Reads media back: digests of the stored samples, a feature string, error, and if asked a column pcm: the audio
+    resampled to ``rate``, stored as a WAVE file of 16-bit PCM.
 
     feature: samples, RMS, peak and zero crossings of the expanded audio, the RMS of the same bytes under A-law
-    and as 64-byte ADPCM blocks, and the CRC-32 of the PCM resampled to ``rate``.
-    A null media value gives nulls.
+    and as 64-byte ADPCM blocks, and the CRC-32 of the resampled PCM.
+    A null or empty media value gives nulls; one that cannot be read (no WAVE file, damaged, more channels than one,
+    an unknown format) gives nulls and says why in ``error``.  Repeated rows stay; an empty table gives an empty
+    table.  Columns of ``stored`` that clash with the new ones are left out.
     """
     bound_batches(stored.sparkSession)
-    kept = [f for f in stored.schema.fields if f.name != "media"]
+    added = [c.split()[0] for c in AUDIO_SCHEMA.split(", ")] + ["pcm"] * keep_pcm
+    kept = [f for f in stored.schema.fields if f.name.lower() not in ("media", *added)]
     names = [f.name for f in kept]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", {AUDIO_SCHEMA}" + (", pcm binary" if keep_pcm else "")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + AUDIO_SCHEMA + (", pcm binary" if keep_pcm else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,12 +219,12 @@ def read_audio(stored: DataFrame, rate: int = 16000, keep_pcm: bool = False) ->
                 rows = [_features(data[a:b].tobytes(), rate, keep_pcm) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist())]
                 _adpcm_levels(rows)
                 columns = [batch.column(batch.schema.names.index(c)).slice(lo, hi - lo) for c in names]
-                columns += [pa.array([r and r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                columns += [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))]
                 if keep_pcm:
-                    columns.append(pa.array([r and r[6] for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["pcm"] if keep_pcm else [])])
+                    columns.append(pa.array([r[7] for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    return stored.select(*names, "media").mapInArrow(run, schema)
+    return stored.select(*(F.col(f"`{c}`") for c in names), "media").mapInArrow(run, schema)
 
 
 def _rms(pcm: np.ndarray) -> float:
@@ -218,22 +232,29 @@ def _rms(pcm: np.ndarray) -> float:
     return float(np.sqrt(int(wide @ wide) / max(1, len(pcm))))
 
 
-def _features(media: bytes, rate: int, keep_pcm: bool) -> list | None:
+#: what a row without media has: six columns, error, PCM and raw samples
+NOTHING = [None] * 9
+
+
+def _features(media: bytes, rate: int, keep_pcm: bool) -> list:
     if not media:
-        return None
-    _, source_rate, _, samples = parse_wave(media)
-    pcm, _ = decode(media)
+        return NOTHING
+    try:
+        _, source_rate, _, samples = parse_wave(media)
+        pcm, _ = decode(media)
+    except ValueError as e:
+        return [None] * 6 + [str(e), None, None]
     sign = pcm >= 0
     wide = resample(pcm, source_rate, rate)
     out = wide.astype("<i2").tobytes()
     raw = bytes(samples)
     feature = f"n={len(pcm)};rms={_rms(pcm):.3f};peak={int(np.abs(pcm.astype(np.int32)).max(initial=0))};zc={int((sign[1:] != sign[:-1]).sum())};alaw={_rms(ALAW_PCM[np.frombuffer(samples, np.uint8)]):.3f};pcm{rate}={zlib.crc32(out)}"
-    return [len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature, wave(out, PCM, rate, 2, 16) if keep_pcm else None, raw]
+    return [len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature, None, wave(out, PCM, rate, 2, 16) if keep_pcm else None, raw]
 
 
-def _adpcm_levels(rows: list[list | None]) -> None:
+def _adpcm_levels(rows: list[list]) -> None:
     """Adds to each feature the RMS of its samples read as ADPCM blocks, all rows' blocks at once."""
-    held = [(r, np.frombuffer(r[7], np.uint8)) for r in rows if r]
+    held = [(r, np.frombuffer(r[8], np.uint8)) for r in rows if r[8] is not None]
     held = [(r, x[: len(x) // PAD * PAD].reshape(-1, PAD)) for r, x in held]
     blocks = np.concatenate([x for _, x in held] or [np.zeros((0, PAD), np.uint8)])
     power = np.empty(len(blocks), np.int64)
