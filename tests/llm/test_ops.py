@@ -191,6 +191,12 @@ def brute_components(rows, size, percent=80):
     return [f.find(i) for i in ids]
 
 
+def test_few_words_in_all(spark):
+    for texts in (["word"], ["a b", None], ["", "x"], [None], ["a b c"] * 2):
+        got = near_dedup.near_duplicates(documents(spark, texts).coalesce(1)).collect()
+        assert [g.n_shingles for g in sorted(got)] == [int(bool(t)) for t in texts]
+
+
 def test_ids_that_repeat_with_different_texts(spark):
     r = random.Random(31)
     a, b = prose(r, 30), prose(r, 30)
@@ -854,7 +860,7 @@ def test_characters_of_all_scripts(library):
 def test_tier_one_is_counted(spark):
     docs = documents(spark, ["rareword frequentword"] + ["frequentword, “Слово” " + "z" * 100] * 50).coalesce(1)
     words = token_counts.frequent_words(docs, tokenizer_path())
-    assert words == ["frequentword", ",", "“", "”", "слово", "rareword"]
+    assert words == ["frequentword", ",", "слово", "“", "”", "rareword"]
     assert token_counts.frequent_words(docs.limit(0), tokenizer_path()) == [] and token_counts.count_tokens(docs.limit(0), tokenizer_path()).count() == 0
     got = token_counts.count_tokens(documents(spark, ["a b", "a b"], [None, None]), tokenizer_path()).collect()
     assert [(g.doc_id, g.n_tokens) for g in got] == [(None, 2)] * 2
@@ -899,5 +905,69 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     assert 62 not in kept[2] and kept[2] == kept[3] == kept[4] and kept[2] >= kept[1] - {62}
     pii = {x.doc_id: x for x in spark.read.parquet(str(tmp_path / "pii")).collect()}
     assert not any("jane.doe" in x.text for x in pii.values()) and all(x.n_chars == len(x.text) for x in pii.values())
+    # no stage touches the text of a clean document
+    assert all(x.text == texts[x.doc_id] for x in pii.values() if x.doc_id < 60)
     same = sorted((x.doc_id, x.piece, x.length, x.ids_crc32) for x in docs.collect())
     assert same == sorted((x.doc_id, x.piece, x.length, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_tables(spark, folder, rows, labels=(), items=()):
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(list(labels), "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return spark.read.parquet(str(folder / "documents.parquet"))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = pipeline_tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = ". ".join(prose(r, 12) for _ in range(4)) + "."
+    other = ". ".join(prose(r, 12) for _ in range(4)) + "."
+    rows = [(1, text, "en", "s", len(text)), (1, other, "en", None, None), (2, text, None, "s", 5), (2, text, None, "s", 5), (None, text, "en", "s", 0), (3, None, None, None, None), (4, "", "", "", 0), (5, "Mail a@b.co now", "en", "s", 15), (None, None, None, None, None)]
+    docs = pipeline_tables(spark, tmp_path, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    tell = lambda df: sorted((str(x.doc_id), str(x.text), str(x.n_chars)) for x in df.collect())
+    every = tell(docs)
+    # without labels every text scores the same rate, which is above the threshold; an empty benchmark contaminates nothing
+    assert tell(stages["quality"](spark, docs, str(tmp_path))) == every == tell(stages["decontamination"](spark, docs, str(tmp_path)))
+    kept = stages["near_dedup"](spark, docs, str(tmp_path))
+    # a row goes, not its id: one of (1, other) and (1, text) stays for each text, and rows without id or words stay
+    left = tell(kept)
+    assert [x[1] for x in left if x[0] != "None"].count(text) == 1 and [x[1] for x in left].count(other) == 1 and len(left) == 7
+    pii = {(x.doc_id, x.text): x for x in stages["pii"](spark, docs, str(tmp_path)).collect()}
+    assert len(pii) == 8 and (5, "Mail a@b.co now") not in pii
+    changed = next(x for k, x in pii.items() if k[0] == 5)
+    assert changed.n_chars == len(changed.text) and pii[2, text].n_chars == 5 and pii[1, other].n_chars is None
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(x.piece == 0 for x in packed) == len(rows) and {x.doc_id for x in packed} == {x[0] for x in rows}
+
+
+def test_lines_of_mixed_documents(spark):
+    r = random.Random(21)
+    good_line = lambda: prose(r, 12).capitalize() + "."
+    bad_line = lambda: "### ".join(prose(r, 12).split()) + "%%%"
+    texts = ["\n".join(good_line() for _ in range(6)) for _ in range(40)] + ["\n".join(bad_line() for _ in range(6)) for _ in range(40)]
+    docs = documents(spark, texts)
+    model = line_crf.train(docs, spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int"))
+    mixed = ["\n".join([good_line(), good_line(), good_line(), bad_line(), bad_line(), bad_line()]), "\n".join([bad_line() for _ in range(3)] + [good_line() for _ in range(9)])]
+    held = documents(spark, mixed)
+    lines = line_crf.label_lines(held, model).orderBy("doc_id", "line").collect()
+    # a document's label is given to all of its lines in fitting; a change inside one is found all the same
+    assert [x.good for x in lines if x.doc_id == 0] == [True] * 3 + [False] * 3 and [x.good for x in lines if x.doc_id == 1] == [False] * 3 + [True] * 9
+    scores = {x.doc_id: x.score for x in line_crf.score(held.union(docs.where("doc_id in (10, 70)")), model).collect()}
+    assert scores[10] > scores[1] > scores[0] > scores[70]
+    assert line_crf.score(docs.limit(0), model).count() == 0 and line_crf.keep_good(docs.limit(0), model, 0.3).count() == 0

@@ -2,7 +2,8 @@
 
 Every line is labelled good or bad.  A line's score comes from its own surface
 features and those of its neighbours; a transition matrix ties neighbouring
-labels.  Forward-backward marginals, weighted by line length, give a document's
+labels, so a single odd line goes with those around it and a run of them does
+not.  Forward-backward marginals, weighted by line length, give a document's
 share of good text, and a one-variable logistic fit turns it into the
 probability of the good label.
 

@@ -130,9 +130,10 @@ def shingles(words: Words, size: int) -> list[np.ndarray]:
     A text with fewer words has one shingle, its whole word sequence; one without words has none.
     """
     h, bounds = words.hashes, words.bounds
-    whole = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    n = max(0, len(h) - size + 1)
+    whole = np.zeros(n, np.uint64)
     for i in range(size):
-        whole += h[i : len(h) - size + 1 + i] * _WORD_CODES[i]
+        whole += h[i : n + i] * _WORD_CODES[i]
     whole = mix64(whole)
     out = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
