@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verseline.llm import line_crf, near_dedup, packing, pii_surrogates, suffix_match
-from verseline.llm.queries import PII_KEY, table, tokenizer_path
+from verseline.llm.queries import pii_key, table, tokenizer_path
 from verseline.llm.tables import materialize
 
 QUALITY = 0.3
@@ -19,26 +19,42 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier accepts; it learns from the labels of the raw documents."""
+    """Rows whose text the line classifier accepts; it learns from the labels of the raw documents.
+
+    Without labels, or with those of one class, all texts score their rate.  Null
+    and empty texts score as all bad; rows that repeat are judged alike; ids play
+    no part.  An empty table stays empty.
+    """
     raw = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = line_crf.train(raw, table(spark, sf_dir, "labels").where(~line_crf.held_out()))
     return line_crf.keep_good(docs, model, QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id; rows without an id stay."""
-    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    return docs.join(materialize(groups.where(~F.col("kept")).select("doc_id"), "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that with the smallest id.
+
+    Rows without an id or without words stay.  Of rows that repeat an id each text
+    counts for itself, those beyond the first after all other documents; of rows
+    that repeat id and text one stays.  An empty table stays empty.
+    """
+    return near_dedup.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Rows of which less than a twentieth is benchmark text.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; rows that
+    repeat are judged alike.  An empty table stays empty.
+    """
     return suffix_match.decontaminate(docs, table(spark, sf_dir, "benchmark"), size=13)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars follows the text."""
-    out = pii_surrogates.replace_entities(docs, PII_KEY)
+    """All rows, personal data replaced by surrogates; n_chars follows the text where it changed.
+
+    Null texts stay null; equal texts are changed alike.  An empty table stays empty.
+    """
+    out = pii_surrogates.replace_entities(docs, pii_key(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
@@ -46,7 +62,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in sequences of at most 4096 tokens."""
+    """The pieces of all rows in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece of the end token; rows that repeat an id are
+    packed each; null ids stay null.  An empty table gives no pieces.
+    """
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path(), capacity=4096, end_id=1)
 
 
@@ -54,6 +74,7 @@ STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("decontaminati
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of the documents that all stages kept; each stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
