@@ -10,6 +10,8 @@ from verseline.operators import observations as obs
 from verseline.operators.line_tracker import Cluster, Seen, Tracker, detect, same_line
 from verseline.operators.qa import flag_neighbours
 from verseline.functions import text as tx
+from verseline.schemas import FOUND
+from verseline.streaming.lines import _top_level
 
 LONG = "abcdefghijklmnopqrstuv"
 
@@ -20,7 +22,8 @@ def seen(time, text, confidence=0.95, box=None, status="", fragments=None):
 
 def track(rows, style="line", **kw):
     t = Tracker("t", style, Parameters(**kw))
-    out = [r for one in rows for r in t.feed(one)] + t.finish()
+    names = [c.split()[0] for c in _top_level(FOUND)]
+    out = [dict(zip(names, r)) for r in [r for one in rows for r in t.feed(one)] + t.finish()]
     pick = lambda k: [r for r in out if r["kind"] == k]
     return pick("line"), pick("rejected"), pick("low_confidence")
 
@@ -147,6 +150,8 @@ def test_spark_equals_tracker_whatever_the_partitioning(spark):
             if r[0] == t:
                 expected += tr.feed(seen(r[2], r[3], r[4], status=r[5])._replace(frame=str(r[1])))
         expected += tr.finish()
+    names = [c.split()[0] for c in _top_level(FOUND)]
+    expected = [dict(zip(names, e)) for e in expected]
     want = sorted((e["track_id"], e["ordinal"], e["kind"], e["reason"] or "", e["text"], e["support_frames"], e["start_time"]) for e in expected)
     for n in (1, 7):
         got = detect(obs.observations(frames(spark, rows).repartition(n))).collect()

@@ -8,6 +8,7 @@ stay in native expressions.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -23,30 +24,49 @@ APOSTROPHES = {ord(c): "'" for c in "‘’ʼ"}
 MATCH_KEEPS, EVALUATION_KEEPS = frozenset("&'"), frozenset("&'’+#")
 
 
-@lru_cache(maxsize=4096)
-def _category(c: str) -> str:
-    return unicodedata.category(c)
+@lru_cache
+def _classes() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """What display, match and evaluation texts drop, as patterns over all of Unicode."""
+
+    def pattern(dropped) -> re.Pattern:
+        codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and dropped(chr(c))]
+        parts, i = [], 0
+        while i < len(codes):
+            j = i
+            while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+                j += 1
+            parts.append(f"\\U{codes[i]:08x}-\\U{codes[j]:08x}")
+            i = j + 1
+        return re.compile(f"[{''.join(parts)}]+")
+
+    kind = unicodedata.category
+    return (
+        pattern(lambda c: c in DECORATION or not c.isspace() and kind(c) in ("Cf", "Cc")),
+        pattern(lambda c: c.isspace() or c not in MATCH_KEEPS and kind(c)[0] == "P"),
+        pattern(lambda c: c.isspace() or c not in EVALUATION_KEEPS and kind(c)[0] in "PS"),
+    )
 
 
 def display_text(text: str | None) -> str:
     """NFKC; decoration dropped; white space to single blanks; then format and control characters dropped; trimmed."""
     if text is None:
         return ""
-    kept = (" " if c.isspace() else c for c in unicodedata.normalize("NFKC", str(text)) if c not in DECORATION)
-    return " ".join("".join(c for c in kept if c == " " or _category(c) not in ("Cf", "Cc")).split())
+    return " ".join(_classes()[0].sub("", unicodedata.normalize("NFKC", str(text))).split())
+
+
+def _folded(shown: str) -> str:
+    """The match text of display text."""
+    return _classes()[1].sub("", shown.translate(APOSTROPHES).casefold())
 
 
 def match_text(text: str | None) -> str:
     """The compact form for comparison: case-folded display text without blanks and punctuation but & and '."""
-    folded = display_text(text).translate(APOSTROPHES).casefold()
-    return "".join(c for c in folded if not c.isspace() and (c in MATCH_KEEPS or _category(c)[0] != "P"))
+    return _folded(display_text(text))
 
 
 def evaluation_text(text: str | None) -> str:
     """The form that accuracy is measured on: also without symbols, control characters kept."""
-    folded = unicodedata.normalize("NFKC", text or "").casefold()
-    kept = (c for c in folded if not c.isspace() and (c in EVALUATION_KEEPS or _category(c)[0] not in "PS"))
-    return "".join(kept).replace("’", "'")
+    return _classes()[2].sub("", unicodedata.normalize("NFKC", text or "").casefold()).replace("’", "'")
 
 
 def _layer(function):
@@ -132,7 +152,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def space_boundaries(text: str, whole: str) -> set[int]:
     """Places in the match text where the display text has a blank; none if the parts do not make it up."""
-    parts = [match_text(p) for p in display_text(text).split(" ")]
+    parts = [_folded(p) for p in display_text(text).split(" ")]
     return _ends(parts, whole, 1) if all(parts) else set()
 
 

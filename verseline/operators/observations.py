@@ -15,15 +15,28 @@ def in_order():
     return Window.partitionBy("track_id").orderBy("time", "source_index")
 
 
+#: input bytes for each partition of CPU-bound work, and partitions at most
+PART_BYTES, MOST_PARTS = 64 << 20, 100_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as far as they are known; estimates of what joins make of them are not used."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partitioned by keys into as many parts as the session sets, and kept so: what follows is short of CPU, not of
-    bytes, so small partitions must not be merged."""
+    """Partitioned by keys, and kept so: what follows is short of CPU, not of bytes, so small partitions must not be
+    merged.  There are as many as the session sets, as the cluster has cores, or as the input's size asks for,
+    whichever is most."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(input_bytes(df) // PART_BYTES, MOST_PARTS))
+    return df.repartition(parts, *keys)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _boundaries(texts: pd.Series, fragments: pd.Series) -> pd.Series:
+def space_places(texts: pd.Series, fragments: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else text.boundaries(t, None if f is None else list(f)) for t, f in zip(texts, fragments)])
 
 
@@ -55,7 +68,7 @@ def observations(frames: DataFrame, style: str = "line", votes: bool = True) ->
     if votes:
         split = F.contains("display_text", F.lit(" ")) | F.coalesce(F.size("fragments") > 1, F.lit(False))
         # Arrow-batched, and a fence: a native fold would be evaluated again wherever the column is used
-        places = _boundaries(F.when(split, F.col("display_text")), "fragments")
+        places = space_places(F.when(split, F.col("display_text")), "fragments")
     return seen.withColumns({"confidence": numbers.observed_confidence(F.col("confidence"), default), "boundaries": places, "style": F.lit(style)}).drop("fragments")
 
 
@@ -143,10 +156,14 @@ def medoids(members: DataFrame, group: str, order: str) -> DataFrame:
     return ranked.groupBy(group).agg(F.min_by("display_text", rank).alias("medoid"), F.min("cost").alias("total_distance"))
 
 
-def boundary_votes(members: DataFrame, group: str) -> DataFrame:
-    """Per group of observations with equal match text, the blank places that enough of them vote for."""
-    size = members.groupBy(group).agg(F.count("*").alias("compatible_frames"), F.max(F.length("match_text")).alias("longest"))
-    votes = members.select(group, F.explode(F.array_distinct("boundaries")).alias("position")).groupBy(group, "position").agg(F.count("*").alias("votes"))
+def boundary_votes(members: DataFrame, group: str, weight: str | None = None) -> DataFrame:
+    """Per group of observations with equal match text, the blank places that enough of them vote for.
+
+    weight: a column that says how many equal observations a row stands for; without it a row is one.
+    """
+    n = F.col(weight) if weight else F.lit(1)
+    size = members.groupBy(group).agg(F.sum(n).alias("compatible_frames"), F.max(F.length("match_text")).alias("longest"))
+    votes = members.select(group, n.alias("n"), F.explode(F.array_distinct("boundaries")).alias("position")).groupBy(group, "position").agg(F.sum("n").alias("votes"))
     least = F.greatest(F.lit(2), F.ceil(F.col("compatible_frames") * 0.30))
     out = votes.join(size, group).where((F.col("votes") >= least) & (F.col("position") > 0) & (F.col("position") < F.col("longest")))
     return out.select(group, "position", "votes", "compatible_frames", F.round(F.col("votes") / F.col("compatible_frames"), 6).alias("ratio"))

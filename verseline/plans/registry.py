@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verseline.functions import geometry, numbers, text, timecode
@@ -39,7 +39,7 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_tracker.detect(seen(spark, sf_dir))
+    return line_tracker.detect(seen(spark, sf_dir), candidates=False)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,19 +111,82 @@ def turn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.medoids(members, "conv_id", "turn").select("conv_id", "medoid", "total_distance")
 
 
+#: frames of a turn: text (T is the turn's, q and x have one character more), confidence, top of a box
+SIMILAR = (("q", 0.9, 0), ("T", 0.8, 0), ("T", 0.95, 0))
+NEAR_EXACT = (("q", 0.9, 0), ("q", 0.8, 0), ("x", 0.95, 0), ("x", 0.95, 0), ("q", 0.85, 0))
+JITTER = (("T", 0.9, 0), ("T", 0.9, 0), ("T", 0.3, 0), ("zz", 0.9, 0), ("T", 0.7, 0))
+SHORT = (("ab", 0.75, 0), ("ac", 0.7, 100), ("ab", 0.75, 0))
+BLANKS = (("", 0.0, 0),) * 3
+
+
+def frames_of_turns(spark: SparkSession, sf_dir: str, frames: Column) -> DataFrame:
+    """A track per conversation: every turn gives frames (text, confidence, box), a quarter of a second apart, turns 100
+    seconds; frames may use the columns conv_id, turn and T, the turn's text with single blanks."""
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("T"))
+    each = t.select("conv_id", "turn", F.posexplode(frames).alias("k", "f"))
+    return each.select(F.col("conv_id").cast("string").alias("track_id"), (F.col("turn") * 100 + F.col("k")).cast("long").alias("source_index"), (F.col("turn") * 100 + F.col("k") * 0.25).alias("time"), "f.*")
+
+
+def _frames(pattern: tuple, **texts: Column) -> Column:
+    box = lambda top: F.array(F.array(F.lit(0.0), top), F.array(F.lit(50.0), top + 20.0))
+    one = lambda text, sure, top: F.struct((texts[text] if text else F.lit("")).alias("text"), F.lit(sure).alias("confidence"), box(top if isinstance(top, Column) else F.lit(float(top))).alias("box"))
+    return F.array(*(one(*f) for f in (*pattern, *BLANKS)))
+
+
+def noisy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as noisy lines, by turns with a similar text, a near-exact rival, jitter, and short texts in one place or two."""
+    t, turn = F.col("T"), F.col("turn").cast("string")
+    texts = {"T": t, "q": F.concat(t, F.lit("q")), "x": F.concat(t, F.lit("x")), "zz": F.concat(F.lit("zz"), turn), "ab": F.concat(F.lit("ab"), turn), "ac": F.concat(F.lit("ac"), turn)}
+    moved = tuple((text, sure, F.when(F.col("conv_id") % 2 == 0, 0.0).otherwise(float(top)) if top else 0) for text, sure, top in SHORT)
+    which = (F.col("conv_id") + F.col("turn")) % 4
+    frames = F.when(which == 0, _frames(SIMILAR, **texts)).when(which == 1, _frames(NEAR_EXACT, **texts)).when(which == 2, _frames(JITTER, **texts)).otherwise(_frames(moved, **texts))
+    return frames_of_turns(spark, sf_dir, frames)
+
+
+def _told(lines: DataFrame) -> DataFrame:
+    return lines.select("track_id", "kind", "reason", "start_time", "end_time", "text", "support_frames", "confidence")
+
+
+def noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P03, P04, P06-P08, T01-T04, A02, A03, A05, A06 where texts are alike but not equal: the medoid of edited copies, a
+    rival that differs by one character, jitter, and short texts that only their place tells apart."""
+    return _told(line_tracker.detect(observations.observations(noisy_frames(spark, sf_dir), votes=False), candidates=False))
+
+
+def similar_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P03, P04 between neighbouring frames of noisy turns."""
+    now = F.struct("match_text", "time", "box", "confidence")
+    pairs = observations.observations(noisy_frames(spark, sf_dir), votes=False).withColumn("now", now).withColumn("before", F.lag("now").over(observations.in_order()))
+    return pairs.where("before is not null").select("track_id", "source_index", observations.same_line(F.col("before"), F.col("now")).alias("same"))
+
+
+def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that appear bit by bit, in the style that their own hint tells."""
+    t = F.col("T")
+    part = lambda n: F.substr(t, F.lit(1), F.floor(F.length(t) * n / 3).cast("int"))
+    frames = _frames((("one", 0.9, 0), ("two", 0.8, 0), ("T", 0.7, 0), ("T", 0.95, 0)), one=part(1), two=part(2), T=t)
+    seen = observations.with_hinted_style(observations.observations(frames_of_turns(spark, sf_dir, frames), votes=False))
+    return _told(line_tracker.detect(seen, candidates=False))
+
+
+def fragment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recognised without blanks, in fragments that tell where these were."""
+    glued = F.replace(F.col("T"), F.lit(" "), F.lit(""))
+    frames = F.transform(_frames((("T", 0.9, 0), ("T", 0.8, 0)), T=glued), lambda f: F.struct(f["text"].alias("text"), f["confidence"].alias("confidence"), F.when(f["text"] != "", F.split("T", " ")).alias("fragments")))
+    return _told(line_tracker.detect(observations.observations(frames_of_turns(spark, sf_dir, frames)), candidates=False))
+
+
 def boundary_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F19-F21, A04 over all lines of all documents that agree in their match text."""
+    """F19, F21, A04 over all lines of all documents that agree in their match text."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    # equal lines are one observation here that stands for all of them
     counted = observations.spread(lines.groupBy("text").agg(F.count("*").alias("n")), "text")
-    # equal lines are one observation here; how many there are of it rides along as its index
-    members = observations.observations(counted.select(F.lit("all").alias("track_id"), "text", F.col("n").alias("source_index")))
-    votes = members.select("match_text", "boundaries", F.col("source_index").alias("n"))
-    # a place needs two votes, so only lines that agree with another one are cut into places
-    votes = votes.withColumn("compatible_frames", F.sum("n").over(Window.partitionBy("match_text"))).where("compatible_frames > 1")
-    # not explode(): the filter that it implies would go below the count of equal lines and run on every line
-    each = votes.select("match_text", "n", "compatible_frames", F.explode_outer("boundaries").alias("position")).groupBy("match_text", "compatible_frames", "position").agg(F.sum("n").alias("votes"))
-    least = F.greatest(F.lit(2), F.ceil(F.col("compatible_frames") * 0.30))
-    return each.where((F.col("votes") >= least) & (F.col("position") < F.length("match_text"))).select("match_text", "position", "votes", "compatible_frames", F.round(F.col("votes") / F.col("compatible_frames"), 6).alias("ratio"))
+    t = F.col("text")
+    layers = counted.select("n", text.display(t).alias("display_text"), text.match(t).alias("match_text")).where("match_text <> ''")
+    # a place needs two votes, so a line that agrees with no other, itself included, needs no places
+    groups = layers.withColumn("all", F.sum("n").over(Window.partitionBy("match_text"))).where(F.col("all") > 1)
+    places = observations.space_places(F.when(F.contains("display_text", F.lit(" ")), F.col("display_text")), F.lit(None).cast("array<string>"))
+    return observations.boundary_votes(groups.withColumn("boundaries", places), "match_text", weight="n")
 
 
 def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,19 +205,24 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", g.alias("g")).select("l_orderkey", "l_linenumber", "g.x_min", "g.x_max", "g.y_min", "g.y_max", "g.x_center", "g.y_center", "g.width", "g.height")
 
 
+def _frames_of_orders(items: DataFrame) -> DataFrame:
+    every = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "item"))).alias("all"))
+    return recognition.read_frames(every.select("l_orderkey", F.transform("all", lambda s: s["item"]).alias("raw_items")))
+
+
 def frame_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P01, P02, F33, A08 per order."""
-    items = order_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "item"))).alias("all"))
-    read = items.select("l_orderkey", F.transform("all", lambda s: s["item"]).alias("raw_items"))
-    kept = F.filter("raw_items", lambda i: i["confidence"] >= 0.5)
-    status = F.when(F.size(kept) > 0, "ok").when(F.size("raw_items") > 0, "low_confidence").otherwise("empty")
-    return read.select("l_orderkey", F.size("raw_items").alias("n_raw"), F.size(kept).alias("n_kept"), F.array_join(F.transform(kept, lambda i: i["text"]), ",").alias("kept"), status.alias("status"))
+    """P01, P02, F24, F33, A08 per order: items with blank texts and confidences that are no numbers among them."""
+    item = order_boxes(spark, sf_dir)
+    blank = F.when(F.col("l_linenumber") == 5, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("item.text")))
+    sure = F.when(F.col("l_linenumber") == 2, F.lit("NaN")).when(F.col("l_linenumber") == 3, F.lit("sure")).otherwise(F.col("item.confidence").cast("string"))
+    item = item.withColumn("item", F.struct(blank.alias("text"), sure.alias("confidence"), F.col("item.box").alias("box")))
+    read = _frames_of_orders(item)
+    return read.select("l_orderkey", F.size("raw_items").alias("n_raw"), F.size("items").alias("n_kept"), F.size("rejected_items").alias("n_rejected"), F.array_join(F.transform("items", lambda i: i["text"]), ",").alias("kept"), "status")
 
 
 def active_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows clustered and one chosen per order.  SQL cannot express the greedy clustering."""
-    items = order_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "item"))).alias("all"))
-    read = recognition.read_frames(items.select("l_orderkey", F.transform("all", lambda s: s["item"]).alias("raw_items")))
+    """Rows clustered and one chosen per order."""
+    read = _frames_of_orders(order_boxes(spark, sf_dir))
     return read.select("l_orderkey", F.size("visual_lines").alias("n_rows"), "text", F.round("confidence", 6).alias("confidence"), "status")
 
 
@@ -335,25 +403,62 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T07, T08."""
+    """How each job ended, crashed, without a result or while it was cancelled among them."""
     events = job_events(spark, sf_dir)
     numbered = events.withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy("seq_order")))
     jobs = event_log.terminal(numbered)
-    code = F.when(F.col("job_id").cast("long") % 13 == 0, 130).when(F.col("terminal_type") == "failed", 1).otherwise(0)
-    no = F.lit(False)
-    return jobs.select("job_id", "terminal_type", "terminal_seq", event_log.outcome(code, no, F.col("terminal_type"), F.lit(True), F.col("terminal_type") == "failed", no).alias("outcome"))
+    job = F.col("job_id").cast("long")
+    code = F.when(job % 13 == 0, 130).when(F.col("terminal_type") == "failed", 1).otherwise(0)
+    ended = event_log.outcome(code, job % 7 == 0, F.col("terminal_type"), job % 5 != 0, F.col("terminal_type") == "failed", job % 11 == 0)
+    return jobs.select("job_id", "terminal_type", "terminal_seq", ended.alias("outcome"))
+
+
+def runner_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A runner per user whose signals come from events, out of turn as often as not."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    n, kind = F.col("event_id"), F.col("event_type")
+    signal = F.when(kind == "view", "start").when(kind == "signup", "started").when((kind == "click") & (n % 3 == 0), "cancel").when(kind == "error", "exit").otherwise("event")
+    end = F.when((kind == "purchase") & (n % 5 == 0), "cancelled").when((kind == "purchase") & (n % 5 == 1), "failed").when(kind == "purchase", "completed")
+    signals = e.select(F.col("user_id").cast("string").alias("job_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), signal.alias("signal"), F.when(kind == "error", F.element_at(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(130)), (n % 4 + 1).cast("int"))).alias("exit_code"), ((kind == "error") & (n % 7 == 0)).alias("crashed"), end.alias("terminal_type"), ((kind == "purchase") & (n % 4 != 0)).alias("has_result"), ((kind == "purchase") & (n % 5 == 1)).alias("has_error"))
+    return event_log.runner_states(signals).select("job_id", "seq", "run", "state", "accepted")
+
+
+def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 on a job's raw output: bytes cut anywhere, inside characters too, a last line without an end, and lines beyond
+    the limit."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    long = F.when(F.col("event_id") % 17 == 0, F.repeat(F.lit("é"), 400)).otherwise(F.lit("é"))
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("some other output "), long)).otherwise(F.concat(F.lit(event_log.PREFIX + '{"type":"'), "event_type", F.lit('","message":"'), F.col("event_id").cast("string"), F.lit("-"), long, F.lit('"}')))
+    jobs = e.groupBy("user_id").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"]), "\n"), "UTF-8").alias("out"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("out") - 1) / 37).cast("int")), lambda i: F.struct(i.alias("seq"), F.substring(F.col("out"), i * 37 + 1, F.lit(37)).alias("data")))
+    chunks = jobs.select(F.col("user_id").cast("string").alias("job_id"), F.explode(cut).alias("c")).select("job_id", "c.*")
+    lines = event_log.chunk_lines(chunks, most_bytes=500)
+    good = event_log.parse(lines.where("issue is null").drop("issue")).select("job_id", "nth", "event.type", "event.message", "issue")
+    bad = lines.where("issue is not null").select("job_id", "nth", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("message"), "issue")
+    return good.unionByName(bad)
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T06, T10."""
-    e = job_events(spark, sf_dir)
-    return e.select("job_id", F.col("seq_order.event_id").alias("event_id"), event_log.overall_progress(F.col("type"), F.col("stage"), F.col("ratio")).alias("percent"))
+    """Counted work of a stage, and the whole job."""
+    e = job_events(spark, sf_dir).withColumn("event_id", F.col("seq_order.event_id")).withColumn("total", F.col("event_id") % 7 * 10).withColumn("done", F.col("event_id") % 83)
+    counted = event_log.progress(F.col("done"), F.col("total"))
+    return e.select("job_id", "event_id", event_log.overall_progress(F.col("type"), F.col("stage"), F.col("ratio")).alias("overall"), F.round(counted["ratio"], 9).alias("ratio"), counted["percent"].alias("percent"))
 
 
 def recognition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A08, P09, P10."""
-    frames = event_frames(spark, sf_dir).withColumn("status", F.when(F.col("text") == "", "error").otherwise("ok"))
-    return observations.check_recognised(frames)
+    """A08, P10."""
+    return observations.check_recognised(_recognised(spark, sf_dir))
+
+
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.col("text") == ""
+    frames = event_frames(spark, sf_dir).withColumn("status", F.when(failed, "error").otherwise("ok"))
+    return frames.withColumn("frame", F.format_string("%06d.png", "source_index")).withColumn("error", F.when(failed, "no image"))
+
+
+def failed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that failed, in short."""
+    return observations.failed_frames(_recognised(spark, sf_dir))
 
 
 def cleaned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,8 +469,8 @@ def cleaned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    line_switches, rejected_clusters, low_confidence_frames, short_gaps, blank_intervals, style_details, neighbour_same_line, normalised_turns, turn_similarity, turn_medoids, boundary_votes, box_geometry, frame_status, active_rows, adapted_results,
-    timestamps, frame_times, regions, sample_times, probes, index_problems, prepared_lines, lrc_texts, review_rows, parsed_lrc, alignments, evaluation, accuracy, unmatched_references, similarity_matrix, event_lines, parsed_events, job_outcomes, progress, recognition_check, cleaned_numbers,
+    line_switches, rejected_clusters, low_confidence_frames, short_gaps, blank_intervals, style_details, neighbour_same_line, normalised_turns, turn_similarity, turn_medoids, noisy_lines, similar_neighbours, typed_lines, fragment_lines, boundary_votes, box_geometry, frame_status, active_rows, adapted_results,
+    timestamps, frame_times, regions, sample_times, probes, index_problems, prepared_lines, lrc_texts, review_rows, parsed_lrc, alignments, evaluation, accuracy, unmatched_references, similarity_matrix, event_lines, parsed_events, parsed_chunks, job_outcomes, runner_states, progress, recognition_check, failed_frames, cleaned_numbers,
 )
 
 

@@ -122,7 +122,47 @@ jobs AS (
   FROM events
 )"""
 
+_NOISY = f"""
+t AS (SELECT CAST(conv_id AS VARCHAR) AS track_id, conv_id, turn, turn * 100.0 AS start, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS T, (conv_id + turn) % 4 AS which, conv_id % 2 = 1 AS apart FROM conversations),
+noisy AS (SELECT *, length({_MATCH.format('T')}) + 1 AS n, 'ab' || turn AS ab, 'ac' || turn AS ac FROM t)"""
+
+
+def _row(where: str, kind: str, reason: str, first: float, last: float, text: str, frames: int, confidence: str) -> str:
+    return f"SELECT track_id, '{kind}' AS kind, {reason} AS reason, CAST(start + {first} AS DOUBLE) AS start_time, CAST(start + {last} AS DOUBLE) AS end_time, {text} AS text, CAST({frames} AS BIGINT) AS support_frames, round(CAST({confidence} AS DOUBLE), 6) AS confidence FROM noisy WHERE {where}"
+
+
+# what must come of each kind of turn, one by one
+_NOISY_ROWS = " UNION ALL ".join(
+    _row(*r)
+    for r in (
+        ("which = 0", "line", "NULL", 0, 0.5, "T", 3, "(0.9 + 0.8 + 0.95) / 3"),
+        ("which = 1 AND n >= 20", "line", "NULL", 0, 1.0, "T || 'q'", 3, "(0.9 + 0.8 + 0.85) / 3"),
+        ("which = 1 AND n >= 20", "rejected", "'ocr_jitter'", 0.5, 0.75, "T || 'x'", 2, "0.95"),
+        ("which = 1 AND n < 20", "line", "NULL", 0, 0.25, "T || 'q'", 2, "0.85"),
+        ("which = 1 AND n < 20", "line", "NULL", 0.5, 0.75, "T || 'x'", 2, "0.95"),
+        ("which = 1 AND n < 20", "rejected", "'blank_timeout'", 1.0, 1.0, "T || 'q'", 1, "0.85"),
+        ("which = 2", "line", "NULL", 0, 1.0, "T", 3, "(0.9 + 0.9 + 0.7) / 3"),
+        ("which = 2", "low_confidence", "'low_confidence'", 0.5, 0.5, "T", 1, "0.3"),
+        ("which = 2", "rejected", "'ocr_jitter'", 0.75, 0.75, "'zz' || turn", 1, "0.9"),
+        ("which = 3 AND NOT apart", "line", "NULL", 0, 0.5, "ab", 3, "(0.75 + 0.7 + 0.75) / 3"),
+        ("which = 3 AND apart", "rejected", "'unstable_pending'", 0, 0, "ab", 1, "0.75"),
+        ("which = 3 AND apart", "rejected", "'unstable_pending'", 0.25, 0.25, "ac", 1, "0.7"),
+        ("which = 3 AND apart", "rejected", "'blank_timeout'", 0.5, 0.5, "ab", 1, "0.75"),
+    )
+)
+
 ORACLES: dict[str, str] = {
+    "noisy_lines": f"WITH {_NOISY} {_NOISY_ROWS}",
+    "similar_neighbours": f"""WITH {_NOISY}, frames AS (SELECT *, unnest(range(CASE WHEN which IN (0, 3) THEN 6 ELSE 8 END)) AS k FROM noisy)
+SELECT track_id, CAST(turn * 100 + k AS BIGINT) AS source_index, CASE WHEN k = 0 OR k >= (CASE WHEN which IN (0, 3) THEN 3 ELSE 5 END) THEN FALSE
+  WHEN which = 0 THEN k = 2 OR n >= 10 WHEN which = 1 THEN k IN (1, 3) OR n >= 10 WHEN which = 2 THEN k <= 2 ELSE NOT apart END AS same
+FROM frames WHERE k > 0 OR turn > (SELECT min(turn) FROM conversations c WHERE CAST(c.conv_id AS VARCHAR) = frames.track_id)""",
+    "typed_lines": f"WITH {_NOISY} " + _row("TRUE", "line", "NULL", 0, 0.75, "T", 4, "(0.9 + 0.8 + 0.7 + 0.95) / 4"),
+    "fragment_lines": f"""WITH {_NOISY.replace('noisy AS', 'plain AS')},
+parts AS (SELECT *, string_split(T, ' ') AS w, list_transform(string_split(T, ' '), lambda x: {_MATCH.format('x')}) AS m FROM plain),
+ends AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: length(array_to_string(m[1:i], ''))) AS c FROM parts),
+noisy AS (SELECT track_id, start, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND m[i] <> '' AND c[i - 1] BETWEEN 2 AND c[-1] - 2 THEN ' ' ELSE '' END || w[i]), '') AS T FROM ends)
+""" + _row("TRUE", "line", "NULL", 0, 0.25, "T", 2, "0.85"),
     "line_switches": f"{_WALK} SELECT track_id, start_time, end_time, text, CAST(support_frames AS BIGINT) AS support_frames, round(confidence, 6) AS confidence FROM lines",
     "rejected_clusters": f"""{_WALK}
 SELECT track_id, rejected.r AS reason, rejected.s AS start_time, rejected.e AS end_time, rejected.t AS text, CAST(rejected.n AS BIGINT) AS support_frames FROM walk WHERE rejected IS NOT NULL
@@ -157,7 +197,7 @@ members AS (SELECT * FROM m WHERE own <> ''),
 faces AS (SELECT conv_id, display, min(turn) AS turn, any_value(own) AS own FROM members GROUP BY conv_id, display),
 costs AS (SELECT f.conv_id, f.display, f.turn, f.own, CAST(sum(levenshtein(f.own, o.own)) AS BIGINT) AS cost FROM faces f JOIN members o ON f.conv_id = o.conv_id GROUP BY ALL)
 SELECT conv_id, display AS medoid, cost AS total_distance FROM costs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, length(own) DESC, turn) = 1""",
-    "boundary_votes": f"""WITH lines AS (SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY text HAVING count(*) > 1),
+    "boundary_votes": f"""WITH lines AS (SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY text),
 parts AS (SELECT n, {_MATCH.format('text')} AS match_text, list_transform(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: {_MATCH.format('w')}) AS ws FROM lines),
 kept AS (SELECT * FROM parts WHERE match_text <> ''),
 size AS (SELECT match_text, CAST(sum(n) AS BIGINT) AS compatible_frames FROM kept GROUP BY match_text),
@@ -166,8 +206,15 @@ votes AS (SELECT match_text, position, CAST(sum(n) AS BIGINT) AS votes FROM cuts
 SELECT match_text, position, votes, compatible_frames, round(votes / compatible_frames, 6) AS ratio FROM votes JOIN size USING (match_text)
 WHERE votes >= greatest(2, ceil(compatible_frames * 0.30)) AND position > 0 AND position < length(match_text)""",
     "box_geometry": f"WITH {_BOX} SELECT l_orderkey, l_linenumber, x AS x_min, x + w AS x_max, y AS y_min, y + h AS y_max, (x + (x + w)) / 2 AS x_center, (y + (y + h)) / 2 AS y_center, greatest(0.0, x + w - x) AS width, greatest(1e-6, y + h - y) AS height FROM boxes",
-    "frame_status": f"""WITH {_BOX} SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_raw, CAST(count(*) FILTER (confidence >= 0.5) AS INTEGER) AS n_kept,
-coalesce(string_agg(text, ',' ORDER BY l_linenumber, text, confidence, x) FILTER (confidence >= 0.5), '') AS kept, CASE WHEN count(*) FILTER (confidence >= 0.5) > 0 THEN 'ok' ELSE 'low_confidence' END AS status FROM boxes GROUP BY l_orderkey""",
+    "frame_status": f"""WITH {_BOX}, items AS (SELECT *, CASE WHEN l_linenumber IN (2, 3) THEN 0.0 ELSE confidence END AS sure FROM boxes WHERE l_linenumber <> 5),
+counts AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (sure >= 0.5) AS good, string_agg(text, ',' ORDER BY l_linenumber, text) FILTER (sure >= 0.5) AS texts FROM items GROUP BY l_orderkey)
+SELECT l_orderkey, CAST(coalesce(n, 0) AS INTEGER) AS n_raw, CAST(coalesce(good, 0) AS INTEGER) AS n_kept, CAST(coalesce(n - good, 0) AS INTEGER) AS n_rejected, coalesce(texts, '') AS kept,
+  CASE WHEN good > 0 THEN 'ok' WHEN n > 0 THEN 'low_confidence' ELSE 'empty' END AS status FROM (SELECT DISTINCT l_orderkey FROM boxes) LEFT JOIN counts USING (l_orderkey)""",
+    # tops are equal or 15 apart, beyond the reach of a box of 12, so a row is what shares a top
+    "active_rows": f"""WITH {_BOX}, kept AS (SELECT *, greatest(1.0, w) AS share FROM boxes WHERE confidence >= 0.5),
+found AS (SELECT l_orderkey, y, min(x) AS x0, max(x + w) - min(x) AS width, string_agg(text, ' ' ORDER BY x, l_linenumber, text) AS text, sum(confidence * share ORDER BY x, l_linenumber, text) / sum(share ORDER BY x, l_linenumber, text) AS sure FROM kept GROUP BY l_orderkey, y),
+best AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM found QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY greatest(1.0, width) * (0.5 + sure / 2) DESC, sure DESC, length(text) DESC, y, x0) = 1)
+SELECT l_orderkey, CAST(coalesce(n, 0) AS INTEGER) AS n_rows, coalesce(text, '') AS text, round(coalesce(sure, 0.0), 6) AS confidence, CASE WHEN n > 0 THEN 'ok' ELSE 'low_confidence' END AS status FROM (SELECT DISTINCT l_orderkey FROM boxes) LEFT JOIN best USING (l_orderkey)""",
     "adapted_results": """SELECT p_partkey, 1 AS n_items, trim(p_name) AS text, [0.9, 0.5, 0.25][p_partkey % 3 + 1] AS confidence, [2, 2, 0][p_partkey % 3 + 1] AS n_points FROM part""",
     "timestamps": """WITH s AS (SELECT l_orderkey, l_linenumber, greatest(0, CAST(round(CAST(CAST(l_extendedprice / 10.0 - 50.0 AS VARCHAR) AS DECIMAL(38, 18)) * 100, 0) AS BIGINT)) AS centiseconds FROM lineitem)
 SELECT *, format('{:02d}:{:02d}.{:02d}', centiseconds // 6000, centiseconds % 6000 // 100, centiseconds % 100) AS stamp FROM s""",
@@ -208,10 +255,30 @@ FROM n LEFT JOIN k ON n.track_id = k.track_id""",
 SELECT track_id, reference_index, candidate_index, CAST(levenshtein(a, b) AS INTEGER) AS edit_distance, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS similarity FROM every""",
     "event_lines": f"WITH {_JOBS} SELECT job_id, seq, 'JOB_EVENT ' AS prefix, type, stage FROM jobs",
     "parsed_events": """SELECT event_id, CASE WHEN event_id % 7 >= 4 THEN event_type END AS type, ['no JSON', 'no object', 'no type', 'conflicting types', NULL, NULL, NULL][event_id % 7 + 1] AS issue FROM events WHERE event_id % 11 <> 0""",
-    "job_outcomes": f"""WITH {_JOBS}, ends AS (SELECT job_id, arg_min(type, seq) AS terminal_type, CAST(min(seq) AS INTEGER) AS terminal_seq FROM jobs WHERE type IN ('completed', 'cancelled', 'failed') GROUP BY job_id)
-SELECT *, CASE WHEN CAST(job_id AS BIGINT) % 13 <> 0 AND terminal_type = 'completed' THEN 'succeeded' WHEN terminal_type = 'cancelled' OR CAST(job_id AS BIGINT) % 13 = 0 THEN 'cancelled' ELSE 'failed' END AS outcome FROM ends""",
-    "progress": f"""WITH {_JOBS}, b AS (SELECT *, [0, 8, 30, 90, 96][event_id % 5 + 1] AS low, [8, 30, 90, 96, 100][event_id % 5 + 1] AS high FROM jobs)
-SELECT job_id, event_id, CAST(CASE type WHEN 'stage_started' THEN low WHEN 'stage_completed' THEN high WHEN 'progress' THEN round_even(low + (high - low) * greatest(0.0, least(1.0, ratio)), 0) END AS INTEGER) AS percent FROM b""",
+    "parsed_chunks": """WITH lines AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE event_id % 5 <> 0)
+SELECT job_id, nth, CASE WHEN event_id % 17 <> 0 THEN event_type END AS type, CASE WHEN event_id % 17 <> 0 THEN event_id || '-é' END AS message, CASE WHEN event_id % 17 = 0 THEN 'too long' END AS issue FROM lines""",
+    "job_outcomes": f"""WITH {_JOBS}, ends AS (SELECT job_id, CAST(job_id AS BIGINT) AS j, arg_min(type, seq) AS terminal_type, CAST(min(seq) AS INTEGER) AS terminal_seq FROM jobs WHERE type IN ('completed', 'cancelled', 'failed') GROUP BY job_id)
+SELECT job_id, terminal_type, terminal_seq, CASE WHEN terminal_type = 'completed' AND j % 13 <> 0 AND j % 7 <> 0 AND j % 5 <> 0 THEN 'succeeded'
+  WHEN terminal_type = 'cancelled' OR j % 13 = 0 OR j % 11 = 0 AND terminal_type <> 'completed' THEN 'cancelled' ELSE 'failed' END AS outcome FROM ends""",
+    "runner_states": """WITH RECURSIVE signals AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id AS n,
+    CASE WHEN event_type = 'view' THEN 'start' WHEN event_type = 'signup' THEN 'started' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'cancel' WHEN event_type = 'error' THEN 'exit' ELSE 'event' END AS signal,
+    CASE WHEN event_type = 'purchase' THEN ['cancelled', 'failed', 'completed', 'completed', 'completed'][event_id % 5 + 1] END AS ended, event_type = 'purchase' AND event_id % 4 <> 0 AS result, event_type = 'purchase' AND event_id % 5 = 1 AS wrong,
+    [0, 0, 1, 130][event_id % 4 + 1] AS code, event_id % 7 = 0 AS crashed FROM events
+), walk AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS seq, 'idle' AS state, 0 AS run, CAST(NULL AS VARCHAR) AS e, FALSE AS r, FALSE AS bad, FALSE AS accepted FROM (SELECT DISTINCT job_id FROM signals)
+  UNION ALL
+  SELECT w.job_id, w.seq,
+    CASE WHEN NOT go THEN state WHEN signal = 'start' THEN 'starting' WHEN signal = 'started' AND state = 'starting' THEN 'running' WHEN signal = 'cancel' THEN 'cancelling' WHEN signal <> 'exit' THEN state
+      WHEN NOT crashed AND code = 0 AND e = 'completed' AND r AND NOT bad THEN 'succeeded' WHEN coalesce(e = 'cancelled', FALSE) OR code = 130 OR state = 'cancelling' AND e IS DISTINCT FROM 'completed' THEN 'cancelled' ELSE 'failed' END,
+    run + CAST(go AND signal = 'start' AS INTEGER),
+    CASE WHEN go AND signal = 'start' THEN NULL WHEN go THEN coalesce(ended, e) ELSE e END, CASE WHEN go AND signal = 'start' THEN FALSE ELSE r OR go AND result END, CASE WHEN go AND signal = 'start' THEN FALSE ELSE bad OR go AND wrong END, go
+  FROM (SELECT w.* REPLACE (w.seq + 1 AS seq), s.signal, s.ended, s.result, s.wrong, s.code, s.crashed, (s.signal = 'start') <> (w.state IN ('starting', 'running', 'cancelling')) AS go FROM walk w JOIN signals s ON s.job_id = w.job_id AND s.seq = w.seq + 1) w
+)
+SELECT job_id, seq, run, state, accepted FROM walk WHERE seq > 0""",
+    "progress": f"""WITH {_JOBS}, b AS (SELECT *, [0, 8, 30, 90, 96][event_id % 5 + 1] AS low, [8, 30, 90, 96, 100][event_id % 5 + 1] AS high, CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE least(1.0, event_id % 83 / (event_id % 7 * 10)) END AS share FROM jobs)
+SELECT job_id, event_id, CAST(CASE type WHEN 'stage_started' THEN low WHEN 'stage_completed' THEN high WHEN 'progress' THEN round_even(low + (high - low) * greatest(0.0, least(1.0, ratio)), 0) END AS INTEGER) AS overall, round(share, 9) AS ratio, round(share * 100, 2) AS percent FROM b""",
+    "failed_frames": "SELECT CAST(user_id AS VARCHAR) AS track_id, format('{:06d}.png', event_id) AS frame, epoch_us(ts) / 1e6 AS time, 'no image' AS error FROM events WHERE event_type = 'error'",
     "recognition_check": """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS track_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') AS usable FROM events GROUP BY user_id)
 SELECT *, CASE WHEN failed = total THEN 'every frame failed' WHEN usable = 0 THEN 'no usable text' END AS problem FROM f""",
     "cleaned_numbers": """WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN NULL ELSE l_quantity * 3 - 10 END AS v, l_discount / 3 AS d FROM lineitem)

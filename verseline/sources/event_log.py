@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verseline.operators.observations import spread
 from verseline.schemas import EVENT
 
 #: what marks an event line among a job's other output; readers and writers of a log agree on it
@@ -48,6 +52,95 @@ def parse(lines: DataFrame, column: str = "line", prefix: str = PREFIX, most_byt
     return out.withColumn("issue", issue).withColumn("event", F.when(F.col("issue").isNull(), event.withField("type", F.col("_type")))).drop("_tree", "_type", "_other")
 
 
+class Lines:
+    """Cuts a job's output, fed in pieces of any size, into lines.
+
+    Pieces may end inside a line or a character.  A line that outgrows the limit
+    is dropped up to its end, so memory stays bounded; it is told of only if it
+    is an event line.  finish() gives an unterminated last line.
+    """
+
+    def __init__(self, prefix: str = PREFIX, most_bytes: int = MOST_BYTES):
+        self.prefix, self.most = prefix.encode(), most_bytes
+        if most_bytes < len(self.prefix) + 2:
+            raise ValueError("the limit is below an event line's least size")
+        self.held = bytearray()
+        self.skipping = False
+
+    def _told(self, line: bytes) -> list[tuple[str | None, str | None]]:
+        line = line.rstrip(b"\r\n")
+        if not line.startswith(self.prefix):
+            return []
+        if len(line) > self.most:
+            return [(None, "too long")]
+        try:
+            return [(line.decode(), None)]
+        except UnicodeDecodeError:
+            return [(None, "no UTF-8")]
+
+    def feed(self, piece: bytes) -> list[tuple[str | None, str | None]]:
+        """(event line, None) or (None, what is wrong with it), for each event line that ended."""
+        *ended, rest = piece.split(b"\n")
+        out = []
+        for part in ended:
+            if not self.skipping:
+                out += self._told(bytes(self.held) + part)
+            self.held.clear()
+            self.skipping = False
+        if not self.skipping:
+            self.held += rest
+            if len(self.held) > self.most:
+                if self.held.startswith(self.prefix):
+                    out.append((None, "too long"))
+                self.held.clear()
+                self.skipping = True
+        return out
+
+    def finish(self) -> list[tuple[str | None, str | None]]:
+        last, skipped = bytes(self.held), self.skipping
+        self.held.clear()
+        self.skipping = False
+        return [] if skipped or not last else self._told(last)
+
+
+def chunk_lines(chunks: DataFrame, prefix: str = PREFIX, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(job_id, nth, line, issue): the event lines of output chunks (job_id, seq, data), job by job in order of seq.
+
+    One exchange by job, then a sorted pass that holds one unended line; line is
+    null where issue says why.  ``parse`` takes the lines from here.
+    """
+    kind = chunks.schema["job_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, cutter, nth = None, None, 0
+        for batch in batches:
+            rows: list[tuple] = []
+
+            def told(found: list) -> None:
+                nonlocal nth
+                for line, issue in found:
+                    nth += 1
+                    rows.append((job, nth, line, issue))
+
+            for this, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if cutter is None or this != job:
+                    if cutter is not None:
+                        told(cutter.finish())
+                    job, cutter, nth = this, Lines(prefix, most_bytes), 0
+                told(cutter.feed(data or b""))
+            if rows:
+                yield _rows(rows, batch.schema.field(0).type)
+        if cutter is not None and (found := cutter.finish()):
+            yield _rows([(job, nth + i, *f) for i, f in enumerate(found, 1)], batch.schema.field(0).type)
+
+    def _rows(rows: list[tuple], job_type: pa.DataType) -> pa.RecordBatch:
+        types = (job_type, pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["job_id", "nth", "line", "issue"])
+
+    ready = spread(chunks.select("job_id", "data", "seq"), "job_id").sortWithinPartitions("job_id", "seq")
+    return ready.select("job_id", "data").mapInArrow(run, f"job_id {kind}, nth long, line string, issue string")
+
+
 def terminal(events: DataFrame) -> DataFrame:
     """Per job the first terminal event's type and place; later ones do not count."""
     return events.where(F.col("type").isin(*TERMINAL)).groupBy("job_id").agg(F.min_by("type", "seq").alias("terminal_type"), F.min("seq").alias("terminal_seq"))
@@ -60,6 +153,39 @@ def outcome(exit_code: Column, crashed: Column, terminal_type: Column, has_resul
     return F.when(success, "succeeded").when(F.coalesce(cancelled, F.lit(False)), "cancelled").otherwise("failed")
 
 
+def runner_states(signals: DataFrame) -> DataFrame:
+    """signals (job_id, seq, signal, exit_code, crashed, terminal_type, has_result, has_error) with run, state and accepted.
+
+    Signals: start, started, cancel, exit; any other is an event of the job's own, whose terminal_type counts.  A job is
+    idle until its first start, then starting, running once started, cancelling once asked to, and after its exit
+    succeeded, cancelled or failed until the next start.  A start while a run is active, and what comes without an
+    active run, is not accepted and changes nothing.  Native windows over a job's signals, no state to keep.
+    """
+    order = Window.partitionBy("job_id").orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = F.when(F.col("signal").isin("start", "exit"), F.col("signal"))
+    before = F.coalesce(F.last(edge, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit("exit"))
+    out = signals.withColumn("_active", before == "start")
+    out = out.withColumn("accepted", F.when(F.col("signal") == "start", ~F.col("_active")).otherwise(F.col("_active")))
+    out = out.withColumn("run", F.sum(F.when((F.col("signal") == "start") & F.col("accepted"), 1).otherwise(0)).over(so_far))
+    within = Window.partitionBy("job_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda c: F.coalesce(F.max(F.when(F.col("accepted") & c, 1)).over(within), F.lit(0)) == 1
+    last = lambda c: F.last(F.when(F.col("accepted") & (F.col("signal") == "exit"), c), ignorenulls=True).over(within)
+    out = out.withColumns({
+        "_cancel": seen(F.col("signal") == "cancel"),
+        "_started": seen(F.col("signal") == "started"),
+        "_over": seen(F.col("signal") == "exit"),
+        "_end": F.last(F.when(F.col("accepted"), F.col("terminal_type")), ignorenulls=True).over(within),
+        "_result": seen(F.col("has_result")),
+        "_error": seen(F.col("has_error")),
+        "_code": last(F.col("exit_code")),
+        "_crashed": last(F.col("crashed")),
+    })
+    ended = outcome(F.col("_code"), F.coalesce("_crashed", F.lit(False)), F.col("_end"), F.col("_result"), F.col("_error"), F.col("_cancel"))
+    state = F.when(F.col("run") == 0, "idle").when(F.col("_over"), ended).when(F.col("_cancel"), "cancelling").when(F.col("_started"), "running").otherwise("starting")
+    return out.select(*signals.columns, F.col("run").cast("int").alias("run"), state.alias("state"), "accepted")
+
+
 def overall_progress(type_: Column, stage: Column, ratio: Column) -> Column:
     """Percent of the whole job at an event: a stage's start, its end, or its share in between."""
     bound = lambda i: F.coalesce(*(F.when(stage == n, F.lit(r[i])) for n, r in STAGES.items()), F.lit((0, 100)[i]))
@@ -78,9 +204,17 @@ def progress(done: Column, total: Column) -> dict[str, Column]:
 EMPTY_FRAME = ("the text detection result is empty", "the identified content is empty")
 
 
+#: ECMA-48: a control sequence is CSI, parameter bytes, intermediate bytes and a final byte; CSI is ESC [ or the one
+#: character 9B.  OSC (and the other strings DCS, SOS, PM, APC) last to BEL or ST.  Any other ESC takes intermediate
+#: bytes and one final byte
+_CSI = "(?:\\x1b\\[|\\x{9b})[\\x30-\\x3f]*[\\x20-\\x2f]*[\\x40-\\x7e]"
+_STRING = "(?:\\x1b[\\]PX^_]|[\\x{90}\\x{98}\\x{9d}-\\x{9f}])[^\\x07\\x1b\\x{9c}]*(?:\\x07|\\x1b\\x5c|\\x{9c})"
+_ESCAPE = "\\x1b[\\x20-\\x2f]*[\\x30-\\x7e]"
+
+
 def strip_ansi(text: Column) -> Column:
     """Terminal control sequences removed."""
-    return F.regexp_replace(text, "\\x1b\\][^\\x07]*(?:\\x07|\\x1b\\\\)|(?:\\x1b\\[|\\x{9b})[0-?]*[ -/]*[@-~]|\\x1b[@-_]", "")
+    return F.regexp_replace(text, f"{_STRING}|{_CSI}|{_ESCAPE}", "")
 
 
 def routine_warning(line: Column, engine_tag: str) -> Column:

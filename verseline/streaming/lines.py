@@ -39,7 +39,7 @@ def detect_stream(observations: DataFrame, parameters: Parameters | None = None,
         last = float("-inf")
         if state.exists:
             tracker, last = pickle.loads(state.get[0])
-        rows: list[dict] = []
+        rows: list[tuple] = []
         if state.hasTimedOut:
             if tracker is not None:
                 rows = tracker.finish()
@@ -55,7 +55,7 @@ def detect_stream(observations: DataFrame, parameters: Parameters | None = None,
                     tracker = Tracker(key[0], r.style, p)
                 one = Seen(*(getattr(r, f) for f in _FIELDS))._replace(box=_plain(r.box), boundaries=_plain(r.boundaries))
                 if r.time < last:
-                    rows.append({"track_id": key[0], "kind": "late", "reason": "late", "ordinal": -1, "start_time": r.time, "end_time": r.time, "text": r.display_text, "confidence": r.confidence, "support_frames": 1, "spaces": [], "candidates": [one._asdict()]})
+                    rows.append((key[0], "late", "late", -1, r.time, r.time, r.display_text, r.confidence, 1, [], [one._asdict()]))
                     continue
                 last = r.time
                 rows += tracker.feed(one)
