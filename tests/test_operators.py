@@ -13,6 +13,7 @@ from verseline.config import Job, Parameters, short_number
 from verseline.functions import geometry, numbers, text, timecode
 from verseline.operators import alignment, qa, recognition
 from verseline.plans import stages
+from verseline.schemas import ITEM
 from verseline.sources import event_log, lrc, media
 
 LEFT = [[0.0, 10.0], [20.0, 10.0], [20.0, 20.0], [0.0, 20.0]]
@@ -196,6 +197,23 @@ def test_lrc_files(spark, tmp_path):
     assert lrc.load(spark, str(tmp_path / "u.lrc")).first().text == "x"
 
 
+def test_tracks_never_share_a_file(spark, tmp_path):
+    tracks = ["a/b", "a_b", "../escaped", "..", "", "x" * 300, "ü", "a b", ".hidden"]
+    rows = [(t, 1.0, f"text of {t}") for t in tracks]
+    # lines need nothing but a track, a start and a text
+    lines = spark.createDataFrame(rows, "track_id string, start_time double, text string")
+    done = lrc.write_outputs(lines, tmp_path / "in", force=True)
+    files = {p.read_text() for p in (tmp_path / "in").glob("*.lrc")}
+    assert len(done) == len({d["lrc"] for d in done}) == len(files) == len(tracks) and [p.name for p in tmp_path.iterdir()] == ["in"]
+    spark.dataSource.register(lrc.LrcSource)
+    lines.selectExpr("track_id", "text AS content").write.format("lrc").mode("append").save(str(tmp_path / "by"))
+    assert {p.read_text() for p in (tmp_path / "by").glob("*.lrc")} == {r[2] for r in rows} and {p.name for p in tmp_path.iterdir()} == {"in", "by"}
+    with pytest.raises(ValueError):
+        lrc.write_outputs(lines, tmp_path / "one.lrc")
+    with pytest.raises(ValueError):
+        lrc.LrcReader("s3a://bucket/x").partitions()
+
+
 def brute_align(ref, cand, least=0.55, gap=0.35):
     """The best key over all order-preserving matchings, tried one by one."""
     n, m, best = len(ref), len(cand), None
@@ -289,15 +307,96 @@ def test_stage_reuse(spark, tmp_path):
     folder = once({"offset": 0})
     assert calls == list(stages.ORDER)
     assert once({"offset": 5}) == folder and calls[4:] == ["writer"]
-    manifest = json.loads((folder / "manifest.json").read_text())
+    path = tmp_path / folder.rpartition("/")[2] / "manifest.json"
+    manifest = json.loads(path.read_text())
     assert manifest["attempt"] == 2 and manifest["stages"]["ocr"]["reuse_count"] == 1 and manifest["status"] == "complete"
-    (folder / "manifest.json").write_text("{")
+    path.write_text("{")
     once({"offset": 5})
     assert len(calls) == 9
     with stages.Run(spark, tmp_path, "run", resume=True), pytest.raises(RuntimeError):
         stages.Run(spark, tmp_path, "run", resume=True).__enter__()
 
 
+def test_output_paths_and_cleaning_are_guarded(spark, tmp_path):
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere/keep").write_text("x")
+    with stages.Run(spark, tmp_path / "work", "run") as run:
+        inside = tmp_path / "work/run"
+        (inside / "frames").mkdir()
+        (inside / "frames/000001.png").write_bytes(b"x")
+        assert run.clean("frames") and not (inside / "frames").exists() and not run.clean("frames")
+        (inside / "frames").symlink_to(tmp_path / "elsewhere")
+        for name in ("frames", "..", ".", "a/b", "", "../../elsewhere", "manifest.json"):
+            with pytest.raises(ValueError):
+                run.clean(name)
+        assert (tmp_path / "elsewhere/keep").exists()
+        (tmp_path / "link").symlink_to(tmp_path / "work")
+        for bad in ("v.mp4", "./v.mp4", "work/run/out.lrc", "work", "link/out.lrc", "elsewhere/../work/x"):
+            with pytest.raises(ValueError):
+                run.check_output(tmp_path / "v.mp4", tmp_path / bad)
+        assert run.check_output(tmp_path / "v.mp4", tmp_path / "out/v.lrc").startswith("file:///")
+    with pytest.raises(stages.Cancelled), stages.Run(spark, tmp_path / "work", "run", resume=True) as run:
+        raise stages.Cancelled
+    assert json.loads((inside / "manifest.json").read_text())["status"] == "cancelled"
+
+
+def test_a_broken_sink_is_told_of():
+    def sink(event):
+        raise OSError("pipe is gone")
+
+    e = stages.Events(sink, "j")
+    with pytest.warns(RuntimeWarning, match="pipe is gone"):
+        assert e.emit("progress")["seq"] == 1
+    assert isinstance(e.delivery_error, OSError) and e.emit("completed")["seq"] == 2 and e.terminal == "completed"
+
+
+def test_runner_states_one_by_one(spark):
+    rows = [("start", None), ("cancel", None), ("started", None), ("start", None), ("exit", 0), ("cancel", None), ("start", None), ("started", None), ("event", None), ("exit", 0), ("exit", 1)]
+    signals = spark.createDataFrame([("j", i, s, c, False, "completed" if i == 8 else None, i == 8, False) for i, (s, c) in enumerate(rows)], "job_id string, seq int, signal string, exit_code int, crashed boolean, terminal_type string, has_result boolean, has_error boolean")
+    got = [(r.state, r.accepted) for r in event_log.runner_states(signals).orderBy("seq").collect()]
+    assert got == [("starting", True), ("cancelling", True), ("cancelling", True), ("cancelling", False), ("cancelled", True), ("cancelled", False), ("starting", True), ("running", True), ("running", True), ("succeeded", True), ("succeeded", False)]
+
+
+def test_output_in_pieces():
+    line = event_log.PREFIX + '{"type":"é"}'
+    raw = f"noise\n{line}\r\n{'x' * 300}\n{event_log.PREFIX}{'y' * 300}\n{line}".encode()
+    want = [(line, None), (None, "too long"), (line, None)]
+    for size in (1, 2, 3, 7, 64, 1000):
+        cutter = event_log.Lines(most_bytes=100)
+        got = [x for i in range(0, len(raw), size) for x in cutter.feed(raw[i : i + size])]
+        assert len(cutter.held) <= 100 and got + cutter.finish() == want and cutter.finish() == []
+    cutter = event_log.Lines()
+    assert cutter.feed(event_log.PREFIX.encode() + b"\xff\n") == [(None, "no UTF-8")] and cutter.feed(b"") == []
+    with pytest.raises(ValueError):
+        event_log.Lines(most_bytes=5)
+
+
+def test_control_sequences(spark):
+    rows = ["\x1b[31mred\x1b[0m", "a\x1b]0;title\x07b", "a\x1b]8;;http://x\x1b\\b", "\x9b1mx", "\x1b(Bx\x1b=y", "\x1bPq#0\x1b\\z", "plain [31m", "\x1b[?25l\x1b[2K\x1b[1;31;40mx"]
+    got = [r.t for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").orderBy("i").select(event_log.strip_ansi(F.col("t")).alias("t")).collect()]
+    assert got == ["red", "ab", "ab", "x", "xy", "z", "plain [31m", "x"]
+
+
+def test_engines_of_any_kind(spark):
+    class Runs:
+        def run(self, path, text_score=0.9):
+            return [(f"{path}{text_score}", 0.9)]
+
+    class Calls:
+        def __call__(self, path):
+            return [(path, 0.8)]
+
+    assert recognition.entry_of(Runs(), 0.1)("a") == [("a0.1", 0.9)] and recognition.entry_of(Runs())("a") == [("a0.9", 0.9)]
+    assert recognition.entry_of(Calls(), 0.1)("a") == [("a", 0.8)] and recognition.entry_of(lambda p, **kw: kw, 0.2)("a") == {"text_score": 0.2}
+    with pytest.raises(TypeError):
+        recognition.entry_of(object())
+    with pytest.raises(ValueError):
+        recognition.entry_of(Calls(), 2.0)
+    # an engine that cannot be used is an error of each frame, not of the job
+    got = recognition.recognise(spark.createDataFrame([("x",)], "path string"), object).first()
+    assert got.error.type == "TypeError" and got.raw_items == []
+
+
 def test_events_and_cancellation(tmp_path):
     sent = []
     e = stages.Events(sent, "j")
@@ -318,8 +417,21 @@ def test_fingerprints_and_jobs(spark, tmp_path):
     assert media.fingerprints(spark, str(tmp_path / "f")).first().sha256 == hashlib.sha256(b"abc").hexdigest()
     assert stages.stable_hash({"b": 1, "a": 2}) == stages.stable_hash({"a": 2, "b": 1})
     assert short_number(0.1 + 0.2) == "0.3"
-    args = Job("v.mp4", parameters=Parameters(offset_ms=-5, roi=(0, 0, 1, 0.5))).arguments(job_id="x")
-    assert args[:3] == ["v.mp4", "--output", "v.lrc"] and "--offset-ms" in args and "0,0,1,0.5" in args
+    size = media.fingerprint(spark, str(tmp_path / "f"))["size"]
+    assert size == 3
+    listed = media.listing(spark, str(tmp_path))
+    (tmp_path / "f").write_bytes(b"abcd")
+    assert media.listing(spark, str(tmp_path)) != listed
+    from verseline.plans import cli
+
+    jobs = [Job("v.mp4"), Job("v.mp4", "o", Parameters(offset_ms=-5, roi=(0, 0, 1, 0.5), style="auto", fps=29.97, workers=2), "w", True, True, True, True), Job("v", parameters=Parameters(crop_bottom_ratio=0.25, max_blank_frames=0, line_tolerance=0.5, raw_score_floor=0.2))]
+    for job in jobs:
+        a = cli.parser().parse_args(job.arguments(job_id="x", cancel_file=tmp_path / "c", preview=job.force))
+        assert cli.parameters(a) == job.parameters and (a.frames, cli.target(a)) == (str(job.source), str(job.target))
+        assert (a.force, a.resume, a.strict, a.keep_workdir, a.preview_roi, a.job_id, a.event_stream, a.cancel_file) == (job.force, job.resume, job.strict, job.keep_workdir, job.force, "x", True, str(tmp_path / "c"))
+        assert a.workdir == (str(job.workdir) if job.workdir else None)
+    with pytest.raises(ValueError):
+        Job("v.mp4", resume=1)
     with pytest.raises(ValueError):
         Job("v.mp4", "v.mp4")
 
@@ -333,8 +445,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "out/t.lrc").read_text() == "[00:00.00]hello there\n[00:00.75]good bye now\n"
     assert cli.main(["detect", str(tmp_path / "frames"), str(tmp_path / "out")]) == 2
     capsys.readouterr()
+    run = ["detect", str(tmp_path / "frames"), "-o", str(tmp_path / "one.lrc"), "--workdir", str(tmp_path / "work"), "--resume", "--event-stream", "--force"]
+    for reused in (False, True):
+        assert cli.main(run) == 0
+        out = capsys.readouterr().out
+        told = [json.loads(x.removeprefix(event_log.PREFIX)) for x in out.splitlines() if x.startswith(event_log.PREFIX)]
+        assert [t["type"] for t in told] == ["stage_started", "stage_completed"] * 3 + ["completed"] and told[1]["reused"] == reused
+    assert (tmp_path / "one.lrc").read_text().startswith("[00:00.00]hello there")
+    assert cli.main([*run[:2], "-o", str(tmp_path / "work/x.lrc"), "--workdir", str(tmp_path / "work")]) == 2
+    assert cli.main(["detect", str(tmp_path / "frames"), str(tmp_path / "p"), "--preview-roi", "--roi", "0,0.5,1,0.5"]) == 0
+    shown = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert shown["roi"] == [0, 0.5, 1, 0.5] and len(shown["times"]) == 6
     assert cli.main(["evaluate", str(tmp_path / "out/t.lrc"), str(tmp_path / "out/t.lrc"), "--compact"]) == 0
     assert json.loads(capsys.readouterr().out)["line_recall"] == 1.0
+    # two rows on screen: which one is read is a choice
+    box = lambda top: [[0.0, top], [90.0, top], [90.0, top + 10], [0.0, top + 10]]
+    items = [{"text": "upper row", "confidence": 0.9, "box": box(0.0)}, {"text": "lower row", "confidence": 0.95, "box": box(50.0)}]
+    spark.createDataFrame([("t", i, i / 4, items) for i in range(3)], f"track_id string, source_index long, time double, raw_items array<{ITEM}>").write.parquet(str(tmp_path / "items"))
+    for row in ("top", "bottom"):
+        assert cli.main(["detect", str(tmp_path / "items"), str(tmp_path / row), "--active-row", row]) == 0
+    assert (tmp_path / "top/t.lrc").read_text() == "[00:00.00]upper row\n" and (tmp_path / "bottom/t.lrc").read_text() == "[00:00.00]lower row\n"
     (tmp_path / "stop").touch()
     assert cli.main(["detect", str(tmp_path / "frames"), str(tmp_path / "out2"), "--cancel-file", str(tmp_path / "stop")]) == 130
 

@@ -86,41 +86,59 @@ def short_number(value: float) -> str:
     return format(float(value), ".12g")
 
 
+#: parameters that only the evaluation has
+EVALUATION = ("min_similarity", "gap_penalty", "time_tolerance")
+
+
 @dataclass(frozen=True)
 class Job:
-    """One track to process: input, output and parameters, as an argument list without a shell."""
+    """One table or folder of frames to process: input, output and parameters, as an argument list without a shell."""
 
     source: Path
     output: Path | None = None
     parameters: Parameters = field(default_factory=Parameters)
+    workdir: Path | None = None
     force: bool = False
     resume: bool = False
+    strict: bool = False
+    keep_workdir: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "source", Path(self.source))
         if not str(self.source).strip() or str(self.source) == ".":
             raise ValueError("source is required")
-        if self.output is not None:
-            object.__setattr__(self, "output", Path(self.output))
-            if self.output == self.source:
-                raise ValueError("the output would overwrite the source")
+        for name in ("output", "workdir"):
+            if getattr(self, name) is not None:
+                object.__setattr__(self, name, Path(getattr(self, name)))
+        if self.output is not None and self.output == self.source:
+            raise ValueError("the output would overwrite the source")
+        for name in ("force", "resume", "strict", "keep_workdir"):
+            if not isinstance(getattr(self, name), bool):
+                raise ValueError(f"{name} must be true or false")
 
     @property
     def target(self) -> Path:
         return self.output or self.source.with_suffix(".lrc")
 
     def arguments(self, *, preview: bool = False, job_id: str | None = None, cancel_file: Path | None = None) -> list[str]:
-        """What differs from the defaults, as command-line arguments."""
-        out = [str(self.source), "--output", str(self.target)]
+        """The command line's arguments; of the parameters those that differ from the defaults."""
+        out = ["detect", str(self.source), "--output", str(self.target)]
         base = Parameters()
         for f in fields(Parameters):
             value = getattr(self.parameters, f.name)
-            if value == getattr(base, f.name):
+            if value == getattr(base, f.name) or f.name in EVALUATION:
                 continue
             text = ",".join(map(short_number, value)) if isinstance(value, tuple) else value if isinstance(value, str) else short_number(value)
-            out += [f"--{f.name.replace('_', '-')}", text]
-        out += [flag for flag, on in (("--force", self.force), ("--resume", self.resume), ("--preview-roi", preview)) if on]
+            # one word, as a value may begin with a minus sign
+            out.append(f"--{f.name.replace('_', '-')}={text}")
+        if self.workdir is not None:
+            out += ["--workdir", str(self.workdir)]
+        out += [f"--{n.replace('_', '-')}" for n in ("force", "resume", "strict", "keep_workdir") if getattr(self, n)]
+        if preview:
+            out.append("--preview-roi")
         if job_id is not None:
+            if not job_id or "\0" in job_id:
+                raise ValueError("job_id must be a text without null bytes")
             out += ["--event-stream", "--job-id", job_id]
         if cancel_file is not None:
             out += ["--cancel-file", str(cancel_file)]

@@ -5,9 +5,11 @@ The engine itself is injected (``recognise``); everything behind it is here.
 
 from __future__ import annotations
 
+import inspect
 import json
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -262,10 +264,32 @@ def read_frames(frames: DataFrame, threshold: float = 0.50, active: str = "auto"
     return out.withColumns({"text": F.coalesce("selected_line.text", F.lit("")), "confidence": F.coalesce("selected_line.confidence", F.lit(0.0)), "box": F.col("selected_line.box"), "status": status})
 
 
-def recognise(frames: DataFrame, engine: Callable[[], Callable[[str], Any]], path_col: str = "path", fail_fast: bool = False) -> DataFrame:
+def accepts(function: Any, name: str) -> bool:
+    """Whether a function takes an argument of this name; one that cannot be looked into does not."""
+    try:
+        given = inspect.signature(function).parameters.values()
+    except (TypeError, ValueError):
+        return False
+    return any(p.kind is p.VAR_KEYWORD or p.name == name and p.kind is not p.POSITIONAL_ONLY for p in given)
+
+
+def entry_of(engine: Any, text_score: float | None = None) -> Callable[[str], Any]:
+    """What runs an engine on a path: the engine itself if it can be called, else its ``run``.
+
+    A score that texts must reach is passed on if the engine takes one.
+    """
+    if text_score is not None and not (math.isfinite(text_score) and 0 <= text_score <= 1):
+        raise ValueError("text_score must be 0 to 1")
+    run = engine if callable(engine) else getattr(engine, "run", None)
+    if not callable(run):
+        raise TypeError(f"{type(engine).__name__} can neither be called nor run")
+    return partial(run, text_score=text_score) if text_score is not None and accepts(run, "text_score") else run
+
+
+def recognise(frames: DataFrame, engine: Callable[[], Any], path_col: str = "path", fail_fast: bool = False, text_score: float | None = None) -> DataFrame:
     """Runs an engine over frames: one engine per Python worker and task, made by the factory.
 
-    A frame that fails gets an error struct instead of failing the job, unless ``fail_fast``.
+    An engine is called with a path, or has a ``run`` that is, and may take a ``text_score``.  A frame that fails gets an error struct instead of failing the job, unless ``fail_fast``.
     Adds raw_items and error.
     """
     schema = frames.schema.simpleString()[7:-1]
@@ -276,7 +300,7 @@ def recognise(frames: DataFrame, engine: Callable[[], Callable[[str], Any]], pat
             items, errors = [], []
             for path in part[path_col]:
                 try:
-                    call = call or engine()
+                    call = call or entry_of(engine(), text_score)
                     found = adapt(call(path))
                     items.append([{**x, "box": [[float(v) for v in p[:2]] for p in x["box"] if isinstance(p, list)]} for x in found])
                     errors.append(None)

@@ -3,36 +3,32 @@
 A stage's key hashes its parameters, the versions of what computes it and the
 key of the stage before it, so a change reaches every later stage and none
 before.  Results are Parquet folders; a manifest says which key each holds.
+Run folders may be on any file system that Spark reads; on a cluster they must
+be, as executors write the tables.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import uuid
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timezone
 from importlib import metadata
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from verseline.sources.lrc import write_atomic
+from verseline.sources.files import Files, stable_hash, uri
 
 FORMAT = 1
 ORDER = ("extract", "ocr", "detector", "writer")
 
 
-def stable_hash(value: Any) -> str:
-    """SHA-256 of the canonical JSON form."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def versions(*packages: str) -> dict[str, str | None]:
     def one(name: str) -> str | None:
         try:
@@ -59,43 +55,44 @@ class Run:
     """A run folder: manifest, stage tables and an exclusive lock; use as a context manager."""
 
     def __init__(self, spark: SparkSession, root: str | Path, base: str, resume: bool = False):
-        self.spark = spark
-        root = Path(root)
-        root.mkdir(parents=True, exist_ok=True)
-        same = sorted((p for p in root.iterdir() if p.is_dir() and not p.is_symlink() and (p.name == base or p.name.startswith(base + "-"))), key=lambda p: p.stat().st_mtime)
+        self.spark, self.files, self.root = spark, Files(spark), uri(root).rstrip("/")
+        self.files.make(self.root)
+        same = sorted((at, name) for at, name in self.files.folders(self.root) if name == base or name.startswith(base + "-"))
         if resume and same:
-            self.folder = same[-1]
+            name = same[-1][1]
         else:
-            self.folder = root / (base if not (root / base).exists() else f"{base}-{uuid.uuid4().hex[:8]}")
-            self.folder.mkdir()
-        self.lock = self.folder / ".lock"
+            name = base if not self.files.exists(f"{self.root}/{base}") else f"{base}-{uuid.uuid4().hex[:8]}"
+            self.files.make(f"{self.root}/{name}")
+        self.folder = f"{self.root}/{name}"
+        self.lock = f"{self.folder}/.lock"
         self.manifest = self._load()
 
     def __enter__(self) -> "Run":
-        try:
-            os.close(os.open(self.lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        except FileExistsError:
-            raise RuntimeError(f"{self.folder} is in use") from None
+        if not self.files.claim(self.lock):
+            raise RuntimeError(f"{self.folder} is in use")
         self.manifest["attempt"] = self.manifest.get("attempt", 0) + 1
         self.manifest["status"] = "running"
         self._save()
         return self
 
     def __exit__(self, kind, *_) -> None:
-        self.manifest["status"] = "complete" if kind is None else "interrupted" if issubclass(kind, KeyboardInterrupt) else "failed"
+        self.manifest["status"] = "complete" if kind is None else "cancelled" if issubclass(kind, Cancelled) else "interrupted" if issubclass(kind, KeyboardInterrupt) else "failed"
         self._save()
-        self.lock.unlink(missing_ok=True)
+        self.files.delete(self.lock)
 
     def _load(self) -> dict:
         empty = {"format": FORMAT, "stages": {}}
+        path = f"{self.folder}/manifest.json"
+        if not self.files.exists(path):
+            return empty
         try:
-            found = json.loads((self.folder / "manifest.json").read_text())
-        except (OSError, ValueError):
+            found = json.loads(self.files.read(path))
+        except ValueError:
             return empty
         return found if isinstance(found, dict) and found.get("format") == FORMAT else empty
 
     def _save(self) -> None:
-        write_atomic(self.folder / "manifest.json", json.dumps(self.manifest, indent=2), overwrite=True)
+        self.files.write(f"{self.folder}/manifest.json", json.dumps(self.manifest, indent=2), overwrite=True)
 
     def reusable(self, stage: str, key: str, schema: StructType | None = None) -> DataFrame | None:
         """The stage's table if its key fits and it can be read with the schema."""
@@ -103,7 +100,7 @@ class Run:
         if not entry or entry["key"] != key:
             return None
         try:
-            found = self.spark.read.parquet(f"file://{self.folder / entry['table']}")
+            found = self.spark.read.parquet(f"{self.folder}/{entry['table']}")
         except AnalysisException:
             return None
         return found if schema is None or [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in schema] else None
@@ -122,10 +119,41 @@ class Run:
             return found
         self.invalidate(*ORDER[ORDER.index(name) :] if name in ORDER else (name,))
         table = f"{name}-{key[:16]}"
-        make().write.mode("overwrite").parquet(f"file://{self.folder / table}")
+        make().write.mode("overwrite").parquet(f"{self.folder}/{table}")
         self.manifest["stages"][name] = {"key": key, "table": table, "completed_at": _now(), "reused": False, "reuse_count": 0, "last_reused_at": None}
         self._save()
-        return self.spark.read.parquet(f"file://{self.folder / table}")
+        return self.spark.read.parquet(f"{self.folder}/{table}")
+
+    def check_output(self, source: str | Path, output: str | Path) -> str:
+        """The output's path; it must not be the source, nor lie where runs are kept."""
+        to, here = _plain(output), _plain(self.root)
+        if to == _plain(source):
+            raise ValueError("the output would overwrite the source")
+        if to == here or to.startswith(here + "/"):
+            raise ValueError("the output must be outside of the run folders")
+        return uri(output)
+
+    def clean(self, name: str = "frames") -> bool:
+        """Deletes a folder of this run by its name; False if there is none.  Whatever is not a plain folder inside the
+        run's own is refused: a path, a link, the run itself."""
+        if not name or "/" in name or "\\" in name or name in (".", ".."):
+            raise ValueError(f"{name!r} names no folder of a run")
+        run = self.folder.rpartition("/")
+        if run[2] not in {n for _, n in self.files.folders(self.root)}:
+            raise ValueError(f"{self.folder} is no folder of its own")
+        if not self.files.exists(f"{self.folder}/{name}"):
+            return False
+        if name not in {n for _, n in self.files.folders(self.folder)}:
+            raise ValueError(f"{name} is a link or no folder")
+        return self.files.delete(f"{self.folder}/{name}")
+
+
+def _plain(path: str | Path) -> str:
+    """A path without links and detours, for comparison."""
+    text = uri(path)
+    if not text.startswith("file:"):
+        return text.rstrip("/")
+    return "file://" + str(Path(unquote(urlparse(text).path)).resolve())
 
 
 class Cancelled(Exception):
@@ -150,11 +178,13 @@ class Cancellation:
 
 
 class Events:
-    """Events of one job to a sink: an object with emit, a list or a callable.  After the first terminal
-    event and after a sink's first failure nothing more is sent."""
+    """Events of one job to a sink: an object with emit, a list or a callable.  After the first terminal event nothing
+    more is sent.  A sink that fails does not fail the job: it is left alone from there on, and ``delivery_error`` tells
+    what went wrong."""
 
     def __init__(self, sink: Any, job_id: str):
-        self.sink, self.job_id, self.seq, self.terminal, self.broken = sink, job_id, 0, None, False
+        self.sink, self.job_id, self.seq, self.terminal = sink, job_id, 0, None
+        self.delivery_error: Exception | None = None
 
     def emit(self, kind: str, **payload: Any) -> dict | None:
         if self.terminal:
@@ -163,10 +193,11 @@ class Events:
         event = {**payload, "type": kind, "event": kind, "job_id": self.job_id, "seq": self.seq, "timestamp": _now()}
         if kind in ("completed", "cancelled", "failed"):
             self.terminal = kind
-        if not self.broken and self.sink is not None:
+        if self.delivery_error is None and self.sink is not None:
             try:
                 send = getattr(self.sink, "emit", None) or getattr(self.sink, "append", None) or self.sink
                 send(event)
-            except Exception:  # a sink must not fail the job; it is left alone from here on
-                self.broken = True
+            except Exception as e:
+                self.delivery_error = e
+                warnings.warn(f"events are no longer delivered: {type(e).__name__}: {e}", RuntimeWarning, stacklevel=2)
         return event

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
@@ -14,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from verseline.functions.timecode import timestamp
 from verseline.operators.qa import prepare
+from verseline.sources.files import Files
 
 #: fixed value: what ends a line of text
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
@@ -104,33 +106,62 @@ def write_atomic(path: str | Path, data: str | bytes, overwrite: bool = False) -
     return path
 
 
+def file_name(track: str) -> str:
+    """A name for a track's files that no other track has and that cannot leave its folder: the track's own if that is
+    plain, else its plain characters and a part of its hash."""
+    if re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9._-]{0,150}", track):
+        return track
+    return f"{re.sub(r'[^A-Za-z0-9_-]', '_', track)[:100]}-{hashlib.sha256(track.encode()).hexdigest()[:16]}"
+
+
 def write_outputs(lines: DataFrame, folder: str | Path, offset_ms: int = 0, force: bool = False, review: bool = True, dry_run: bool = False, preview_lines: int = 10, strict: bool = False) -> list[dict]:
     """One LRC and one review file per track, beside each other; a dry run returns the first lines instead.
 
-    Tracks come to the driver one at a time.
+    The folder may be on any file system that Spark reads; a path that ends in .lrc
+    is the file of the one track there is.  Tracks come to the driver one at a
+    time.  Lines need not have ``ordinal``; without it equal
+    times are in order of end and text.
     """
+    if "ordinal" not in lines.columns:
+        when = [c for c in ("start_time_raw", "start_time", "end_time", "text") if c in lines.columns]
+        lines = lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("track_id").orderBy(*when)))
+    lines = lines.withColumns({c: F.lit(None).cast(t) for c, t in (("end_time", "double"), ("confidence", "double"), ("support_frames", "long")) if c not in lines.columns})
     prepared = prepare(lines, offset_ms, strict=strict)
+    if "start_time_raw" not in prepared.columns:
+        prepared = prepared.withColumn("start_time_raw", F.col("start_time"))
     texts = render(prepared)
     if review:
         texts = texts.join(review_csv(prepared).withColumnRenamed("content", "review"), "track_id")
-    out = []
+    files, out, one = Files(lines.sparkSession), [], str(folder).endswith(".lrc")
+    if one and lines.select("track_id").distinct().limit(2).count() > 1:
+        raise ValueError(f"{folder} takes one track, and there are more")
     for row in texts.toLocalIterator():
-        target = Path(folder) / f"{re.sub(r'[^A-Za-z0-9._-]', '_', row.track_id)}.lrc"
-        beside = target.with_suffix(".review.csv")
+        stem = str(folder).removesuffix(".lrc") if one else f"{str(folder).rstrip('/')}/{file_name(row.track_id)}"
+        target, beside = f"{stem}.lrc", f"{stem}.review.csv"
         if dry_run:
             out.append({"track_id": row.track_id, "preview": row.content.splitlines()[:preview_lines]})
             continue
-        if not force and (target.exists() or review and beside.exists()):
+        if not force and (files.exists(target) or review and files.exists(beside)):
             raise FileExistsError(target)
-        write_atomic(target, row.content, force)
+        files.write(target, row.content, force)
         if review:
-            write_atomic(beside, row.review, force)
-        out.append({"track_id": row.track_id, "lrc": str(target), "review": str(beside) if review else None})
+            files.write(beside, row.review, force)
+        out.append({"track_id": row.track_id, "lrc": target, "review": beside if review else None})
     return out
 
 
+def _local(path: str) -> Path:
+    """A folder that all nodes mount; other file systems are read by ``load`` and written by ``write_outputs``."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path} is not mounted: read it with lrc.load, write it with lrc.write_outputs")
+    return Path(path.removeprefix("file://"))
+
+
 class LrcSource(DataSource):
-    """``spark.read.format("lrc").load(folder)``: (path, content) of LRC files; writing takes (track_id, content) rows."""
+    """``spark.read.format("lrc").load(folder)``: (track_id, content) of LRC files; writing takes such rows.
+
+    The folder must be mounted on all nodes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -151,7 +182,7 @@ class LrcReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        root = Path(self.path)
+        root = _local(self.path)
         return [InputPartition(str(p)) for p in (sorted(root.glob("*.lrc")) if root.is_dir() else [root])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
@@ -162,9 +193,9 @@ class LrcWriter(DataSourceWriter):
     """Files appear as each is complete; a failed task leaves no part of a file."""
 
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite = _local(path), overwrite
 
     def write(self, rows) -> WriterCommitMessage:
         for row in rows:
-            write_atomic(Path(self.path) / f"{row['track_id']}.lrc", row["content"], self.overwrite)
+            write_atomic(self.path / f"{file_name(row['track_id'])}.lrc", row["content"], self.overwrite)
         return WriterCommitMessage()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verseline.functions.timecode import frame_time, frame_time_text, rate_text
+from verseline.sources.files import Files, stable_hash, uri
 
 STREAM = "struct<index:int,codec_type:string,codec_name:string,width:string,height:string,duration:string,duration_ts:string,time_base:string,start_time:string,avg_frame_rate:string,r_frame_rate:string,nb_frames:string,rotation:string,tags:struct<rotate:string>,side_data_list:array<struct<rotation:string>>,disposition:struct<attached_pic:int>>"
 PROBE = f"struct<streams:array<{STREAM}>,format:struct<duration:string,start_time:string>>"
@@ -91,5 +92,23 @@ def frame_index_problems(index: DataFrame, there: DataFrame | None = None) -> Da
 
 
 def fingerprints(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, size, modified, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, modified, sha256) of whole files; a file whose size is not what was listed when it was read is an error."""
+    read = spark.read.format("binaryFile").load(list(paths))
+    whole = F.assert_true(F.octet_length("content") == F.col("length"), F.concat(F.lit("changed while it was read: "), "path")).isNull()
+    return read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(whole, F.sha2("content", 256)).alias("sha256"))
+
+
+def fingerprint(spark: SparkSession, path: str) -> dict:
+    """One file's fingerprint; RuntimeError if the file changed between the first and the last look at it."""
+    files = Files(spark)
+    before = files.stamp(path)
+    row = fingerprints(spark, uri(path)).first()
+    if files.stamp(path) != before or row.size != before[0]:
+        raise RuntimeError(f"{path} changed while it was read")
+    return row.asDict()
+
+
+def listing(spark: SparkSession, path: str) -> str:
+    """What a file or folder holds by name, size and time, as one hash: it tells whether an input is the same as before."""
+    files = Files(spark)
+    return stable_hash(files.listed(path))
