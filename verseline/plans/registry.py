@@ -341,7 +341,7 @@ def fixed_alignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dynamic program; SQL cannot express it."""
+    """The dynamic program."""
     reference, candidate = sides(spark, sf_dir)
     out = alignment.align_lines(reference, candidate)
     return out.select("track_id", "reference_index", "candidate_index", F.round("similarity", 6).alias("similarity"), "edit_distance")

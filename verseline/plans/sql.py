@@ -82,6 +82,45 @@ def _clean(x: str) -> str:
     return f"CASE WHEN abs({x}) < 0.0000005 THEN 0.0 ELSE round({x}, 6) END"
 
 
+_ACCURACY = f"""o AS (SELECT track_id, median(-raw_error) AS shift FROM pairs GROUP BY track_id),
+m AS (SELECT p.*, o.shift, raw_error + o.shift AS residual, levenshtein(a, b) AS d FROM pairs p JOIN o ON p.track_id = o.track_id),
+k AS (SELECT track_id, count(*) AS k, sum(d) AS edits, sum(length(a)) AS characters, count(*) FILTER (a <> b OR abs(residual) > 0.8) AS matched, any_value(shift) AS shift,
+  median(raw_error) AS m1, median(abs(raw_error)) AS m2, quantile_cont(abs(raw_error), 0.9) AS m3, median(residual) AS m4, median(abs(residual)) AS m5, quantile_cont(abs(residual), 0.9) AS m6 FROM m GROUP BY track_id),
+n AS (SELECT r.track_id, r.r, coalesce(c.c, 0) AS c FROM (SELECT track_id, count(*) AS r FROM reference GROUP BY 1) r LEFT JOIN (SELECT track_id, count(*) AS c FROM candidate GROUP BY 1) c ON r.track_id = c.track_id)
+SELECT n.track_id, n.r AS reference_line_count, n.c AS candidate_line_count, coalesce(k, 0) AS matched_line_count, r - coalesce(k, 0) AS unmatched_reference_count, c - coalesce(k, 0) AS unmatched_candidate_count,
+  {_clean('coalesce(k, 0) / r')} AS line_recall, CASE WHEN c > 0 THEN {_clean('coalesce(k, 0) / c')} ELSE 0.0 END AS line_precision, {_clean('CASE WHEN characters > 0 THEN edits / characters ELSE 0.0 END')} AS cer,
+  {_clean('shift')} AS estimated_offset_s, {_clean(f'({_clean("shift")}) * 1000.0')} AS estimated_offset_ms,
+  {_clean('m1')} AS raw_median_signed_s, {_clean('m2')} AS raw_median_abs_s, {_clean('m3')} AS raw_p90_abs_s, {_clean('m4')} AS residual_median_signed_s, {_clean('m5')} AS residual_median_abs_s, {_clean('m6')} AS residual_p90_abs_s,
+  coalesce(matched, 0) + (r - coalesce(k, 0)) + (c - coalesce(k, 0)) AS manual_edit_count, {_clean('(coalesce(matched, 0) + (r - coalesce(k, 0)) + (c - coalesce(k, 0))) / r')} AS manual_edit_rate
+FROM n LEFT JOIN k ON n.track_id = k.track_id"""
+
+# the alignment's program: a cell is (score, matches, exact ones, displacement, gaps, pairs); a row of cells follows from the
+# row before, first without its left neighbours (what skips the reference and what pairs, of each cell), then by a fold
+_KEY = "row(round({0}.s, 12), {0}.k, {0}.x, -round({0}.d, 12), -{0}.g)"
+_SKIPPED = "struct_pack(s := {0}.s - 0.35, k := {0}.k, x := {0}.x, d := {0}.d, g := {0}.g + 1, p := {0}.p)"
+_CELL = "STRUCT(s DOUBLE, k BIGINT, x BIGINT, d DOUBLE, g BIGINT, p STRUCT(i BIGINT, j BIGINT)[])"
+_ALIGNED = f"""{_SIDES},
+lefts AS (SELECT track_id, list(a ORDER BY line_index) AS ra, list(line_index ORDER BY line_index) AS ri FROM (SELECT track_id, line_index, {_BYTES.format(_EVALUATE.format('text'))} AS a FROM reference) GROUP BY track_id),
+rights AS (SELECT track_id, list(b ORDER BY line_index) AS cb, list(line_index ORDER BY line_index) AS ci FROM (SELECT track_id, line_index, {_BYTES.format(_EVALUATE.format('text'))} AS b FROM candidate) GROUP BY track_id),
+tracks_of AS (SELECT *, len(ra) AS n, len(cb) AS m FROM lefts JOIN rights USING (track_id)),
+program AS (
+  SELECT track_id, CAST(0 AS BIGINT) AS i, list_transform(range(0, m + 1), lambda j: CAST(struct_pack(s := -0.35 * j, k := 0, x := 0, d := 0.0, g := j, p := []) AS {_CELL})) AS cells FROM tracks_of
+  UNION ALL
+  SELECT track_id, i, list_reduce(list_prepend([{_SKIPPED.format('cells[1]')}], options), lambda done, o: list_append(done,
+    CASE WHEN o[2] IS NOT NULL AND {_KEY.format('o[2]')} >= {_KEY.format('o[1]')} AND {_KEY.format('o[2]')} >= {_KEY.format('l[1]').replace('l[1]', '(' + _SKIPPED.format('done[-1]') + ')')} THEN o[2]
+         WHEN {_KEY.format('(' + _SKIPPED.format('done[-1]') + ')')} > {_KEY.format('o[1]')} THEN {_SKIPPED.format('done[-1]')} ELSE o[1] END)) AS cells
+  FROM (
+    SELECT track_id, i, cells, list_transform(range(1, m + 1), lambda j: [CAST({_SKIPPED.format('cells[j + 1]')} AS {_CELL}),
+      CASE WHEN ra[i] <> '' AND cb[j] <> '' AND 1.0 - levenshtein(ra[i], cb[j]) / greatest(length(ra[i]), length(cb[j])) >= 0.55 THEN CAST(struct_pack(
+        s := cells[j].s + (1.0 - levenshtein(ra[i], cb[j]) / greatest(length(ra[i]), length(cb[j]))), k := cells[j].k + 1, x := cells[j].x + CAST(ra[i] = cb[j] AS BIGINT),
+        d := cells[j].d + abs((i - 0.5) / n - (j - 0.5) / m), g := cells[j].g, p := list_append(cells[j].p, struct_pack(i := i, j := j))) AS {_CELL}) END]) AS options
+    FROM (SELECT q.track_id, q.i + 1 AS i, q.cells, t.* EXCLUDE (track_id) FROM program q JOIN tracks_of t ON q.track_id = t.track_id WHERE q.i < t.n)
+  )
+),
+chosen AS (SELECT track_id, ra, cb, ri, ci, unnest(cells[-1].p) AS u FROM program JOIN tracks_of USING (track_id) WHERE i = n),
+aligned AS (SELECT track_id, ri[u.i] AS reference_index, ci[u.j] AS candidate_index, 1.0 - levenshtein(ra[u.i], cb[u.j]) / greatest(length(ra[u.i]), length(cb[u.j])) AS similarity, CAST(levenshtein(ra[u.i], cb[u.j]) AS INTEGER) AS edit_distance, ra[u.i] AS a, cb[u.j] AS b FROM chosen)"""
+_ALIGNED_PAIRS = "pairs AS (SELECT l.track_id, l.reference_index, l.candidate_index, CAST(c.timestamp AS DOUBLE) - CAST(r.timestamp AS DOUBLE) AS raw_error, l.a, l.b FROM aligned l JOIN reference r ON r.track_id = l.track_id AND r.line_index = l.reference_index JOIN candidate c ON c.track_id = l.track_id AND c.line_index = l.candidate_index)"
+
 _PREPARED = f"""{_WALK},
 scaled AS (
   SELECT track_id, text, support_frames, confidence, row_number() OVER (PARTITION BY track_id ORDER BY end_time, start_time) AS ordinal,
@@ -238,18 +277,9 @@ UNION ALL SELECT 'missing file', frame FROM (SELECT frame FROM i EXCEPT SELECT f
     "parsed_lrc": """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS track_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 3 AS source_line, conv_id FROM conversations),
 s AS (SELECT track_id, text, source_line, 0 AS nth, turn * 60.0 + conv_id % 60 + (turn * 7 % 100) / 100 - 0.25 AS ts FROM t UNION ALL SELECT track_id, text, source_line, 1, (turn + 60) * 60.0 + turn + 0.5 - 0.25 FROM t)
 SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY greatest(0.0, round(ts, 6)), source_line, nth) - 1 AS INTEGER) AS line_index, round(greatest(0.0, ts), 6) AS timestamp, text, CAST(source_line AS INTEGER) AS source_line FROM s WHERE text <> ''""",
-    "accuracy": f"""WITH {_SIDES},
-o AS (SELECT track_id, median(-raw_error) AS shift FROM pairs GROUP BY track_id),
-m AS (SELECT p.*, o.shift, raw_error + o.shift AS residual, levenshtein(a, b) AS d FROM pairs p JOIN o ON p.track_id = o.track_id),
-k AS (SELECT track_id, count(*) AS k, sum(d) AS edits, sum(length(a)) AS characters, count(*) FILTER (a <> b OR abs(residual) > 0.8) AS matched, any_value(shift) AS shift,
-  median(raw_error) AS m1, median(abs(raw_error)) AS m2, quantile_cont(abs(raw_error), 0.9) AS m3, median(residual) AS m4, median(abs(residual)) AS m5, quantile_cont(abs(residual), 0.9) AS m6 FROM m GROUP BY track_id),
-n AS (SELECT r.track_id, r.r, coalesce(c.c, 0) AS c FROM (SELECT track_id, count(*) AS r FROM reference GROUP BY 1) r LEFT JOIN (SELECT track_id, count(*) AS c FROM candidate GROUP BY 1) c ON r.track_id = c.track_id)
-SELECT n.track_id, n.r AS reference_line_count, n.c AS candidate_line_count, coalesce(k, 0) AS matched_line_count, r - coalesce(k, 0) AS unmatched_reference_count, c - coalesce(k, 0) AS unmatched_candidate_count,
-  {_clean('coalesce(k, 0) / r')} AS line_recall, CASE WHEN c > 0 THEN {_clean('coalesce(k, 0) / c')} ELSE 0.0 END AS line_precision, {_clean('CASE WHEN characters > 0 THEN edits / characters ELSE 0.0 END')} AS cer,
-  {_clean('shift')} AS estimated_offset_s, {_clean(f'({_clean("shift")}) * 1000.0')} AS estimated_offset_ms,
-  {_clean('m1')} AS raw_median_signed_s, {_clean('m2')} AS raw_median_abs_s, {_clean('m3')} AS raw_p90_abs_s, {_clean('m4')} AS residual_median_signed_s, {_clean('m5')} AS residual_median_abs_s, {_clean('m6')} AS residual_p90_abs_s,
-  coalesce(matched, 0) + (r - coalesce(k, 0)) + (c - coalesce(k, 0)) AS manual_edit_count, {_clean('(coalesce(matched, 0) + (r - coalesce(k, 0)) + (c - coalesce(k, 0))) / r')} AS manual_edit_rate
-FROM n LEFT JOIN k ON n.track_id = k.track_id""",
+    "accuracy": f"WITH {_SIDES}, {_ACCURACY}",
+    "alignments": f"WITH RECURSIVE {_ALIGNED} SELECT track_id, reference_index, candidate_index, round(similarity, 6) AS similarity, edit_distance FROM aligned",
+    "evaluation": f"WITH RECURSIVE {_ALIGNED.replace('pairs AS', 'fixed AS')}, {_ALIGNED_PAIRS}, {_ACCURACY}",
     "unmatched_references": f"WITH {_SIDES} SELECT track_id, line_index, text FROM reference r WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.track_id = r.track_id AND p.reference_index = r.line_index)",
     "similarity_matrix": f"""WITH {_SIDES}, every AS (SELECT r.track_id, r.line_index AS reference_index, c.line_index AS candidate_index, {_BYTES.format(_EVALUATE.format('r.text'))} AS a, {_BYTES.format(_EVALUATE.format('c.text'))} AS b FROM reference r JOIN candidate c ON r.track_id = c.track_id)
 SELECT track_id, reference_index, candidate_index, CAST(levenshtein(a, b) AS INTEGER) AS edit_distance, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS similarity FROM every""",
