@@ -340,6 +340,25 @@ def test_output_paths_and_cleaning_are_guarded(spark, tmp_path):
     assert json.loads((inside / "manifest.json").read_text())["status"] == "cancelled"
 
 
+def test_decoder_runs_where_the_rows_are(spark, tmp_path):
+    import sys
+
+    # stands in for a decoder: writes two frames where its last argument says, or fails
+    program = tmp_path / "decoder"
+    program.write_text(f"#!{sys.executable}\nimport sys\nif 'bad' in sys.argv[6]:\n    sys.exit('cannot open input')\nfor i in (1, 2):\n    open(sys.argv[-1] % i, 'wb').write(sys.argv[-4].encode())\n")
+    program.chmod(0o755)
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full/000001.png").write_bytes(b"")
+    rows = [(f"{n}.mp4", 0, "fps=4", str(tmp_path / f)) for n, f in (("good", "a"), ("bad", "b"), ("good", "full"))]
+    jobs = spark.createDataFrame(rows, "path string, stream_index int, filter string, folder string")
+    got = {r.folder.rpartition("/")[2]: r for r in media.decode(jobs, str(program)).collect()}
+    assert got["a"].error is None and got["b"].error == "cannot open input" and got["full"].error == "the folder holds frames already"
+    assert got["a"].arguments[-1].endswith("/a/%06d.png") and "fps=4" in got["a"].arguments
+    assert [(r.frame, r.time) for r in media.frames_in(spark, str(tmp_path / "a"), 4).orderBy("frame").collect()] == [("000001.png", 0.0), ("000002.png", 0.25)]
+    assert media.decode(jobs, str(tmp_path / "none")).where("error like '%No such file%'").count() == 1
+    assert media.run_process([sys.executable, "-c", "import time; time.sleep(9)"], 0.2).startswith("no end")
+
+
 def test_a_broken_sink_is_told_of():
     def sink(event):
         raise OSError("pipe is gone")

@@ -136,6 +136,10 @@ def blank_intervals(seen: DataFrame) -> DataFrame:
     return runs.where("blank").groupBy("track_id", "run").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("frame_count"), frames.alias("frames")).drop("run")
 
 
+#: distinct texts of a group that one task compares with all of them
+SIDE = 512
+
+
 def medoids(members: DataFrame, group: str, order: str) -> DataFrame:
     """Per group the display text with the least total distance to all members' match texts
     (display_text, match_text, confidence); ties: surer, longer, first by ``order``.
@@ -146,9 +150,11 @@ def medoids(members: DataFrame, group: str, order: str) -> DataFrame:
     texts = members.groupBy(group, "match_text").agg(F.count("*").alias("n"))
     faces = members.groupBy(group, "display_text").agg(F.min(F.struct(order, "match_text")).alias("first"), F.avg("confidence").alias("sure"))
     faces = faces.select(group, "display_text", F.col("first.match_text").alias("own"), F.col(f"first.{order}").alias("nth"), "sure")
-    # each pair of distinct texts is measured once and counts for both
-    left, right = (texts.select(group, F.col("match_text").alias(m), F.col("n").alias(n)) for m, n in (("a", "na"), ("b", "nb")))
-    pairs = spread(left, group).join(right, group).where("a < b").withColumn("d", F.levenshtein("a", "b"))
+    # each pair of distinct texts is measured once and counts for both; a large group is dealt over several tasks
+    texts = texts.join(texts.groupBy(group).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("deals")), group)
+    left = texts.select(group, F.pmod(F.xxhash64("match_text"), "deals").cast("int").alias("deal"), F.col("match_text").alias("a"), F.col("n").alias("na"))
+    right = texts.select(group, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("match_text").alias("b"), F.col("n").alias("nb"))
+    pairs = spread(left, group, "deal").join(right, [group, "deal"]).where("a < b").withColumn("d", F.levenshtein("a", "b"))
     both = pairs.select(group, F.explode(F.array(F.struct(F.col("a").alias("own"), (F.col("d") * F.col("nb")).alias("cost")), F.struct(F.col("b").alias("own"), (F.col("d") * F.col("na")).alias("cost")))).alias("s"))
     cost = both.groupBy(group, "s.own").agg(F.sum("s.cost").alias("cost"))
     ranked = faces.join(cost, [group, "own"], "left").withColumn("cost", F.coalesce("cost", F.lit(0).cast("long")))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import subprocess
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +71,45 @@ def filter_chain(roi: Column, fps) -> Column:
     return F.format_string(f"setpts=PTS-STARTPTS,crop=%d:%d:%d:%d,fps={rate_text(fps)}", roi["width"], roi["height"], roi["x"], roi["y"])
 
 
+def decoder_arguments(path: str, stream: int, filters: str, folder: str, program: str = "ffmpeg") -> list[str]:
+    """The decoder's argument list, without a shell: one stream, filtered, as numbered PNG files."""
+    return [program, "-hide_banner", "-nostdin", "-loglevel", "error", "-i", path, "-map", f"0:{stream}", "-vf", filters, "-start_number", "1", f"{folder}/%06d.png"]
+
+
+def decode(jobs: DataFrame, program: str = "ffmpeg", timeout: float = 3600.0, run: Callable[[list[str], float], str | None] | None = None) -> DataFrame:
+    """Runs the decoder for each of jobs (path, stream_index, filter, folder) where the row is; adds arguments and error.
+
+    Input and folder must be mounted where workers run, and the folder is made and must hold no frames yet.  A job that
+    fails says why in ``error`` and fails no other.  run: what runs an argument list for at most so many seconds and
+    returns an error or None; by default a process of its own.
+    """
+    schema = jobs.schema.simpleString()[7:-1]
+    start = run or run_process
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            arguments = [decoder_arguments(p, int(s), f, d, program) for p, s, f, d in zip(part["path"], part["stream_index"], part["filter"], part["folder"])]
+            errors = []
+            for folder, one in zip(part["folder"], arguments):
+                try:
+                    Path(folder).mkdir(parents=True, exist_ok=True)
+                    errors.append("the folder holds frames already" if any(Path(folder).glob("*.png")) else start(one, timeout))
+                except OSError as e:
+                    errors.append(str(e))
+            yield part.assign(arguments=arguments, error=errors)
+
+    return jobs.mapInPandas(each, f"{schema}, arguments array<string>, error string")
+
+
+def run_process(arguments: list[str], timeout: float) -> str | None:
+    """Runs a program to its end; what it says last if it fails."""
+    try:
+        done = subprocess.run(arguments, capture_output=True, text=True, timeout=timeout, check=False)
+    except subprocess.TimeoutExpired:
+        return f"no end after {timeout:g} seconds"
+    return None if done.returncode == 0 else (done.stderr.strip().splitlines() or [f"exit code {done.returncode}"])[-1]
+
+
 def frame_index(paths: DataFrame, fps, path: str = "path") -> DataFrame:
     """(frame, path, frame_number, time, time_fraction) of six-digit PNG files."""
     name = F.regexp_extract(path, "([^/\\\\]+)$", 1)
