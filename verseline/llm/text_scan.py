@@ -34,19 +34,53 @@ def stream64(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * _BASE)
 
 
-_BYTE_CODES = stream64(256, 7)
 _WORD_CODES = stream64(64, 8) | np.uint64(1)
+_BYTE_CODES = stream64(256, 7)
 _places = [stream64(256, 9) | np.uint64(1)]
+#: the low bytes of a 64-bit number, by how many
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: bytes of a word that are hashed eight at a time
+SHORT = 64
 
 
 def _place_codes(n: int) -> np.ndarray:
-    """A random odd factor for each place in a word.  As they are independent of each other, no two words agree by their
-    make-up, as they do under a polynomial (whose factors are powers of one number)."""
+    """A random odd factor for each place in a word."""
     if len(_places[0]) < n:
         _places[0] = stream64(2 * n, 9) | np.uint64(1)
     return _places[0]
 
 
+def word_codes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in a byte buffer.
+
+    Eight bytes at a time go through a mixing function that is one-to-one in
+    them, so words agree by chance only and not by their make-up, as they do under
+    a polynomial.  Words of more than SHORT bytes are sums of their bytes' codes
+    times independent random factors for their places.
+    """
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf), "<u8", padded, strides=(1,))
+    out = mix64(sizes.astype(np.uint64) * _BASE)
+    active, at, left = np.arange(len(starts)), starts, sizes
+    for _ in range(0, SHORT, 8):
+        if not len(active):
+            break
+        part = eight[at] & _MASKS[np.minimum(left, 8)]
+        out[active] = mix64(out[active] ^ part)
+        more = np.flatnonzero(left > 8)
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        size = sizes[long]
+        stop = np.cumsum(size)
+        place = np.arange(stop[-1]) - np.repeat(stop - size, size)
+        total = np.zeros(stop[-1] + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[buf[place + np.repeat(starts[long], size)]] * _place_codes(int(size.max()))[place], out=total[1:])
+        out[long] = mix64(total[stop] - total[stop - size])
+    return out
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,7 +121,6 @@ ALNUM = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWER_CODES = _BYTE_CODES[LOWER]
 
 
 class Words:
@@ -110,13 +143,7 @@ class Words:
         cuts = cuts[(cuts > 0) & (cuts < n)]
         flag[cuts] = inside[cuts - 1]
         self.ends = np.flatnonzero(flag)
-        sizes = self.ends - self.starts
-        held = np.flatnonzero(inside)
-        place = held - np.repeat(self.starts, sizes)
-        total = np.zeros(len(held) + 1, np.uint64)
-        np.cumsum(_LOWER_CODES[buf[held]] * _place_codes(int(sizes.max(initial=0)))[place], out=total[1:])
-        stop = np.cumsum(sizes)
-        self.hashes = mix64(total[stop] - total[stop - sizes])
+        self.hashes = word_codes(LOWER[buf], self.starts, self.ends - self.starts)
         #: text i has the words bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offs)
 
