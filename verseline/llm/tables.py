@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts lineage: what is read later does not depend on any executor's
-    local disk.  The table goes when the driver exits.
+    local disk.  The table goes with ``sweep``, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verseline/{name}-{uuid.uuid4().hex}"
@@ -45,15 +45,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held() -> int:
+    """How many intermediate tables there are; a place for ``sweep`` to start or end at."""
+    return len(_made)
+
+
+def sweep(start: int = 0, end: int | None = None) -> None:
+    """Deletes the intermediate tables made between two places; nothing that reads them may be read any more."""
+    end = len(_made) if end is None else end
+    for spark, path in _made[start:end]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[start:end]
+
+
 @atexit.register
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone: nothing to sweep with
-            return
+def _at_exit() -> None:
+    try:
+        sweep()
+    except Exception:  # the session is gone: nothing to sweep with
+        return
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
