@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verseline.llm import line_crf, near_dedup, packing, pii_surrogates, suffix_match
 from verseline.llm.queries import pii_key, table, tokenizer_path
-from verseline.llm.tables import materialize
+from verseline.llm.tables import held, materialize, sweep
 
 QUALITY = 0.3
 #: SQL cannot express the classifier, the surrogates or the packing
@@ -74,10 +74,16 @@ STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("decontaminati
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packing of the documents that all stages kept; each stage's rows are written to the shared folder and read again."""
+    """The packing of the documents that all stages kept.
+
+    Each stage's rows are written to the shared folder and read again; what the
+    stage wrote on its way, and its predecessor's rows, go then.
+    """
     docs = table(spark, sf_dir, "documents")
+    first = held()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{name}")
+            sweep(first, held() - 1)
     return docs
