@@ -168,6 +168,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     sizes, roots = brute_groups(texts, 4)
     for block, shingles in ((256, 400_000), (16, 400_000), (256, 500)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "STAR", block // 4)
         monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
         got = {r.doc_id: r for r in near_dedup.near_duplicates(documents(spark, texts).repartition(5), size=4).collect()}
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
@@ -175,6 +176,44 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_blocks_find_what_stars_leave(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    bases = [np.unique(r.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(4)]
+    sets = {0: np.unique(r.integers(0, 2**63, 40).astype(np.uint64))}  # the pivot, like none
+    for i in range(1, 90):
+        base = bases[i % 4]
+        sets[i] = np.unique(np.concatenate((base[r.random(len(base)) > r.choice([0.02, 0.1, 0.2])], r.integers(0, 2**63, r.integers(0, 6)).astype(np.uint64))))
+    buckets = {7: range(0, 90), 8: range(0, 40), 9: range(0, 40)}
+    members = spark.createDataFrame([(k, i, i, len(sets[i]), 0, 0, len(sets[0])) for k, ids in buckets.items() for i in ids], "key long, rep long, print long, n long, pivot long, pivot_print long, pivot_n long")
+    full = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, print long, hashes binary")
+    known = {5: 1, 9: 1, 13: 1, 6: 2}
+    found = spark.createDataFrame(list(known.items()), "node long, root long")
+    f = near_dedup.Forest()
+    for a, b in known.items():
+        f.union(a, b)
+    for i in range(1, 90):
+        for j in range(1, i):
+            if near_dedup.similar(sets[i], sets[j], 80):
+                f.union(i, j)
+    for block, shingles in ((256, 400_000), (8, 400_000), (256, 300)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        links = near_dedup._block_links(members, full, found, 80).collect()
+        g = near_dedup.Forest()
+        for a, b in [*known.items(), *((x.a, x.b) for x in links)]:
+            g.union(a, b)
+        assert len(links) >= 10 and [g.find(i) for i in range(1, 90)] == [f.find(i) for i in range(1, 90)]
+
+
+def test_links_between_roots_join_their_components(spark, monkeypatch):
+    r = random.Random(13)
+    a, b, c = (prose(r, 30) for _ in range(3))
+    monkeypatch.setattr(near_dedup, "_block_links", lambda *_: spark.createDataFrame([(0, 2), (4, 6), (8, 2)], "a long, b long"))
+    texts = [a, a + " x", b, b + " y", c, c + " z", prose(r, 30), prose(r, 30), prose(r, 30)]
+    got = {g.doc_id: g.component_id for g in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 4, 7: 7, 8: 0}
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     got = near_dedup.near_duplicates(documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [None, 7, 7])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (7, 7, True), (7, 7, True)]
@@ -333,6 +372,11 @@ def test_comments_longer_than_the_article():
     assert mincut_html.main_text(page) == LONG_LINE
 
 
+def test_teasers_longer_than_the_article():
+    page = f"<body><article><p>{LONG_LINE}</p></article><div class='related-posts'>" + f"<p>{LONG_LINE}</p>" * 20 + f"</div><div class=promo><p>{LONG_LINE}</p></div></body>"
+    assert mincut_html.main_text(page) == LONG_LINE
+
+
 def test_labels_are_the_minimum_cut_of_small_pages():
     r = random.Random(4)
     parts = ["<p>", "</p>", "<div>", "</div>", "<ul><li>", "</ul>", "<a href=x>link</a>", "<nav>", "</nav>", "<article>", "</article>", "word", LONG_LINE, "Short line.", "<div class=ad>", "</div>", "<h2>", "</h2>", "&copy; 2020"]
@@ -971,3 +1015,17 @@ def test_lines_of_mixed_documents(spark):
     scores = {x.doc_id: x.score for x in line_crf.score(held.union(docs.where("doc_id in (10, 70)")), model).collect()}
     assert scores[10] > scores[1] > scores[0] > scores[70]
     assert line_crf.score(docs.limit(0), model).count() == 0 and line_crf.keep_good(docs.limit(0), model, 0.3).count() == 0
+
+
+def test_intermediates_can_be_swept(spark):
+    from verseline.llm import tables
+
+    first = tables.held()
+    one, two = (tables.materialize(spark.range(n), "t") for n in (3, 5))
+    assert tables.held() == first + 2 and one.count() == 3
+    tables.sweep(first, first + 1)
+    assert tables.held() == first + 1 and two.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(one.inputFiles()[0])
+    tables.sweep(first)
+    assert tables.held() == first

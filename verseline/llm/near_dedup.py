@@ -40,7 +40,9 @@ from verseline.llm import superminhash
 from verseline.llm.tables import bound_batches, fresh, materialize
 from verseline.llm.text_scan import NOT_SPACE, Words, mix64, shingles, slices, strings
 
-#: members of a star or sides of a block that meet in one task at once, and the shingles of a block's side
+#: members of a star that are dealt to one task at once
+STAR = 64
+#: members of a block's side that meet in one task, and their shingles
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: large stars that are broadcast at most (some 10 MB)
 MOST_STARS = 200_000
@@ -163,8 +165,8 @@ class Forest:
         return True
 
 
-def forest_links(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join components: a spanning forest of all links between a row that asks and one that does not.
+def forest_links(roots: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of roots whose components are linked: a spanning forest of all links between a row that asks and one that does not.
 
     Each asking row meets all others over an inverted index of these, so no link between components is missed.
     """
@@ -188,28 +190,28 @@ def forest_links(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sets: lis
         shared = np.bincount(np.concatenate(spans), minlength=len(sets))
         for y in np.flatnonzero(linked(shared, sizes[x], sizes, percent) & (shared > 0) & (label != label[x])).tolist():
             if label[y] != label[x]:
-                out.append((int(ids[x]), int(ids[y])))
+                out.append((int(roots[x]), int(roots[y])))
                 label[label == label[y]] = label[x]
     return out
 
 
 def _finish(percent: int):
-    """Rows (key, i, j, rep, root, asks, hashes), sorted by block, to links (a, b)."""
+    """Rows (key, i, j, root, asks, hashes), sorted by block, to links (a, b) between roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def done() -> pa.RecordBatch | None:
-            if len({r[1] for r in held}) < 2:
+            if len({r[0] for r in held}) < 2:
                 return None
-            ids, roots, asks = (np.array([r[i] for r in held], np.int64) for i in range(3))
-            found = forest_links(ids, roots, asks.astype(bool), [r[3] for r in held], percent)
+            roots, asks = (np.array([r[i] for r in held], np.int64) for i in range(2))
+            found = forest_links(roots, asks.astype(bool), [r[2] for r in held], percent)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
 
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            rows = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), _read_sets(batch.column(6)))
+            rows = zip(*(batch.column(i).to_pylist() for i in (3, 4)), _read_sets(batch.column(5)))
             for k, row in zip(keys, rows):
                 if k != key:
                     if held and (out := done()) is not None:
@@ -246,30 +248,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of edges (a, b) the smallest node that it reaches, roots left out.
 
     Partitions contract what they hold with a union-find; then each round runs
-    a large-star and a small-star step until every edge points at a root.
+    a large-star and a small-star step.  It is over when no large-star step moves
+    an edge and every node has one edge left, to its root.
     """
-    stars = edges.mapInArrow(_contract, "a long, b long")
-    current = materialize(stars.distinct(), "edges")
+    # a > b in each row
+    current = materialize(edges.mapInArrow(_contract, "a long, b long").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        # now a > b in each row; done when no row's b is some row's a and each a has one row
-        state = current.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
-        open_ends = current.join(current.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        if state.n == state.k and not open_ends:
-            break
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct(), "large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        large = current.select(F.col("b").alias("a"), F.col("a").alias("over")).join(least, "a")
+        large = materialize(large.select(F.col("over").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("a")).alias("moved")), "large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("top"), F.max("moved").alias("moved")), "low")
+        if not low.agg(F.max(F.col("moved") | (F.col("m") != F.col("top")))).first()[0]:
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        small = large.join(low.select("a", "m"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         current = materialize(small.where("a <> b").distinct(), "edges")
-    else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _as_edges(found: DataFrame) -> DataFrame:
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
 
 
 def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,11 +272,11 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = members.where("rep <> pivot or print <> pivot_print").where(F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n"))
     pairs = materialize(pairs.select(*pivot, "rep", "print").distinct(), "pairs")
     # large stars are dealt over several tasks; their list is short enough to broadcast
-    sizes = materialize(pairs.groupBy(*pivot).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "stars")
-    least = BLOCK
+    sizes = materialize(pairs.groupBy(*pivot).agg(F.count("*").alias("n")).where(F.col("n") > STAR), "stars")
+    least = STAR
     while sizes.where(F.col("n") > least).count() > MOST_STARS:
         least *= 4
-    large = sizes.where(F.col("n") > least).select(*pivot, F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    large = sizes.where(F.col("n") > least).select(*pivot, F.ceil(F.col("n") / STAR).cast("int").alias("salts"))
     dealt = pairs.join(F.broadcast(large), pivot, "left").withColumn("salt", F.pmod(F.xxhash64("rep", "print"), F.coalesce("salts", F.lit(1))).cast("int"))
     there = dealt.join(sets, ["rep", "print"]).select(*pivot, "salt", F.col("rep").alias("member"), "hashes")
     centers = dealt.select(*pivot, "salt").distinct().join(sets.withColumnsRenamed({"rep": "pivot", "print": "pivot_print"}), pivot)
@@ -292,7 +286,7 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components that a bucket's members are still in.
+    """Links (a, b) between the roots of components that a bucket's members are still in.
 
     A bucket's pivot has met all members; of the others those outside of the
     bucket's largest component ask all the rest.
@@ -310,7 +304,7 @@ def _block_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent:
     told = F.transform(every("asking"), lambda i: F.struct(i.alias("i"), at("blocks").alias("j"), F.lit(0).alias("asks")))
     ask = F.transform(every("blocks"), lambda j: F.struct(at("asking").alias("i"), j.alias("j"), F.lit(1).alias("asks")))
     near = near.withColumn("at", F.explode(F.concat(told, F.when(F.col("root") != F.col("main"), ask).otherwise(F.slice(ask, 1, 0)))))
-    near = near.select("key", "at.i", "at.j", "rep", "root", "at.asks", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks", "rep")
+    near = near.select("key", "at.i", "at.j", "root", "at.asks", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks", "root")
     return near.mapInArrow(_finish(percent), "a long, b long")
 
 
@@ -348,7 +342,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
     more = materialize(_block_links(members, sets, found, percent), "more")
     if not more.isEmpty():
-        found = components(_as_edges(found).union(more))
+        # only roots are joined here, so this graph is far smaller than the first
+        above = materialize(components(more), "above")
+        moved = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = found.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(above)
 
     out = sig.join(reps.select(*prints, "rep"), prints, "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
