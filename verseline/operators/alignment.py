@@ -49,7 +49,8 @@ def align(reference: list[str], candidate: list[str], min_similarity: float = 0.
             other = (left[0] - gap_penalty, left[1], left[2], left[3], left[4] + 1)
             if key(other) > key(best):
                 best, how = other, SKIP_CANDIDATE
-            if a and b:
+            # the lengths alone bound how alike two texts can be
+            if a and b and min(len(a), len(b)) >= (min_similarity - 1e-9) * max(len(a), len(b)):
                 d = edit_distance(a, b)
                 alike = 1.0 - d / max(len(a), len(b))
                 if alike >= min_similarity:
