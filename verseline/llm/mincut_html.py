@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import bound_batches
+from verseline.llm.tables import bound_batches, lean
 
 TOKEN = re.compile(r"""<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -57,8 +57,9 @@ STATE = re.compile(r"^(?:has|no|with|without|not|js)-|-(?:open|opened|closed|ena
 OUTER = {"html", "body", "main", "article"}
 #: elements that are what their name says; a form can hold the whole page, and class names are anything
 SURE = {"nav", "footer", "aside", "header", "menu", "dialog", "search"}
-#: how much any other bad container counts if it holds most of the prose outside of sure ones, at least so many blocks of
-#: it: a page's text does not stand in its advert, so its name misleads.  Comments can well be longer than the article
+#: any other bad container counts less if it holds most of the prose outside of sure ones, at least so many blocks of it,
+#: and no good container outside of it has any: a page's text does not stand in its advert, so the name misleads then.
+#: Comments can well be longer than the article
 MANY, MOST, MOST_COMMENTS = 3, 0.6, 0.9
 
 #: log-odds for features of a block: where fitting starts from, and what ``fit`` made of the 2,500 pages at sf0.1
@@ -280,14 +281,16 @@ def odds(page: _Page, weights: tuple[float, ...] = WEIGHTS) -> list[float]:
     for mark in page.marks[1:]:
         sure.append(sure[mark.outer] or mark.sure)
     prose = [len(b.text) if o > 0 and not sure[b.mark] else 0 for b, o in zip(page.blocks, own)]
-    length, many = [0], [0]
-    for n in prose:
+    length, many, good = [0], [0], [0]
+    for b, n in zip(page.blocks, prose):
         length.append(length[-1] + n)
         many.append(many[-1] + (n > 0))
+        good.append(good[-1] + (n > 0 and page.marks[b.mark].says > 0))
     heard = [0.0]
     for mark in page.marks[1:]:
         says = mark.says
-        if says < 0 and not mark.sure and many[mark.end] - many[mark.first] >= MANY:
+        alone = good[mark.end] - good[mark.first] == good[-1]
+        if says < 0 and not mark.sure and alone and many[mark.end] - many[mark.first] >= MANY:
             share = (length[mark.end] - length[mark.first]) / length[-1]
             most = MOST_COMMENTS if mark.comments else MOST
             says *= min(1.0, (1 - share) / (1 - most))
@@ -436,4 +439,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
 
-    return pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html_col}`").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html_col}`").alias("_html")).mapInArrow(lean(run), schema)
