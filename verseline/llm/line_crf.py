@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import NOT_SPACE, Words, byte_class, slices, strings
-from verseline.llm.tables import bound_batches
+from verseline.llm.tables import bound_batches, lean
 
 #: labelled documents that a fit uses at most
 SAMPLE = 4000
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # at most ``sample`` rows
-    rows = base.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, features binary, size binary").collect()
+    rows = base.select("doc_id", "text", "label").mapInArrow(lean(run), f"doc_id {kind}, label int, features binary, size binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.features)))
     features = [np.frombuffer(r.features, np.float32).reshape(-1, WIDTH) for r in rows]
     size = [np.frombuffer(r.size, np.int64) for r in rows]
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.scores(features, size, bounds)), pa.array(np.diff(bounds).astype(np.int64))], names=["doc_id", "score", "n_lines"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, n_lines long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double, n_lines long")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -298,7 +298,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "
                 features, size, _, _, bounds = line_features(data, offsets[lo : hi + 1])
                 yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.scores(features, size, bounds) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +316,7 @@ def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int64)), pa.array(starts.astype(np.int64)), pa.array(good), pa.array(good >= 0.5)], names=["doc_id", "line", "start", "p_good", "good"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, line long, start long, p_good double, good boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, line long, start long, p_good double, good boolean")
 
 
 def held_out(id_col: str = "doc_id"):

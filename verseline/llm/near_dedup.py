@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm import superminhash
-from verseline.llm.tables import bound_batches, fresh, materialize
+from verseline.llm.tables import bound_batches, fresh, lean, materialize
 from verseline.llm.text_scan import NOT_SPACE, Words, mix64, shingles, slices, strings
 
 #: members of a star that are dealt to one task at once
@@ -252,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     an edge and every node has one edge left, to its root.
     """
     # a > b in each row
-    current = materialize(edges.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    current = materialize(edges.mapInArrow(lean(_contract), "a long, b long").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -282,7 +282,7 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centers = dealt.select(*pivot, "salt").distinct().join(sets.withColumnsRenamed({"rep": "pivot", "print": "pivot_print"}), pivot)
     both = there.unionByName(centers.select(*pivot, "salt", F.lit(None).cast("long").alias("member"), "hashes"))
     both = both.repartition(*pivot, "salt").sortWithinPartitions(*pivot, "salt", F.col("member").asc_nulls_first())
-    return both.mapInArrow(_confirm_stars(percent), "a long, b long")
+    return both.mapInArrow(lean(_confirm_stars(percent)), "a long, b long")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _block_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent:
     ask = F.transform(every("blocks"), lambda j: F.struct(at("asking").alias("i"), j.alias("j"), F.lit(1).alias("asks")))
     near = near.withColumn("at", F.explode(F.concat(told, F.when(F.col("root") != F.col("main"), ask).otherwise(F.slice(ask, 1, 0)))))
     near = near.select("key", "at.i", "at.j", "root", "at.asks", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks", "root")
-    return near.mapInArrow(_finish(percent), "a long, b long")
+    return near.mapInArrow(lean(_finish(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, n_bands: int = 32, rows: int = 4) -> DataFrame:
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(base.mapInArrow(_sketch(size, n_bands, rows), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"), "sketches")
+    sig = materialize(base.mapInArrow(lean(_sketch(size, n_bands, rows)), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"), "sketches")
     prints = ["print_a", "print_b", "n_shingles"]
     alive = sig.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(alive.groupBy(*prints).agg(F.min(F.struct("doc_id", "keys")).alias("m")).select(*prints, F.col("m.doc_id").alias("rep"), "m.keys"), "reps")
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialize(buckets.select("key", F.col("p.rep").alias("pivot"), F.col("p.print").alias("pivot_print"), F.col("p.n").alias("pivot_n")), "buckets")
     members = materialize(rows_of.join(buckets, "key"), "members")
     needed = base.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(needed.mapInArrow(_full_sets(size), "rep long, print long, hashes binary").groupBy("rep", "print").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = materialize(needed.mapInArrow(lean(_full_sets(size)), "rep long, print long, hashes binary").groupBy("rep", "print").agg(F.first("hashes").alias("hashes")), "sets")
 
     links = _star_links(members, sets, percent)
     # ids with several texts tie these texts' groups together

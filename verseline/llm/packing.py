@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import bound_batches, materialize
+from verseline.llm.tables import bound_batches, lean, materialize
 from verseline.llm.token_counts import loaded, share, text_parts
 
 #: pieces that a salt numbers at least, and salts of all lengths at most: what is broadcast of them does not grow
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, f"doc_id {kind}, row_key long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return base.mapInArrow(lean(run), f"doc_id {kind}, row_key long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 def place(cut: DataFrame, capacity: int) -> DataFrame:
@@ -184,7 +184,7 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
             step, rest = np.divmod(nth - slot[:, 1], slot[:, 3])
             yield pa.RecordBatch.from_arrays([at[c] for c in names] + [pa.array(slot[:, 2] + step), pa.array(slot[:, 4] + rest * length)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import bound_batches, materialize
+from verseline.llm.tables import bound_batches, lean, materialize
 
 #: fixed values: the base patterns, in their order
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -76,7 +76,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, f"doc_id {kind}, repo string, owner string, row_key long, spans array<{SPAN}>")
+    return base.mapInArrow(lean(run), f"doc_id {kind}, repo string, owner string, row_key long, spans array<{SPAN}>")
 
 
 #: places from which on a value is hot, and how many hot values are broadcast at most (some 10 MB)

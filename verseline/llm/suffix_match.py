@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import ALNUM, Words, slices, strings
-from verseline.llm.tables import bound_batches, materialize
+from verseline.llm.tables import bound_batches, lean, materialize
 
 SHARD = 1 << 18
 #: a block is about 32 MB
@@ -355,7 +355,7 @@ def _marked(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_
             for one in held:
                 one.unpersist()
         held = shared or [_share(sc, Items(np.zeros(0, np.uint64), np.zeros(1, np.int64), [], Shard([], None)))]
-        out = out.mapInArrow(_mark(held, size), out.schema)
+        out = out.mapInArrow(lean(_mark(held, size)), out.schema)
     return out.withColumn("n_hit", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"]))
 
 
@@ -425,7 +425,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
     out = docs.sparkSession.createDataFrame([], schema)
     blocks = load_items(bench, item_col, item_text_col)
     while shared := [_share(sc, block) for block in islice(blocks, BLOCKS)]:
-        part = base.mapInArrow(find(shared), schema)
+        part = base.mapInArrow(lean(find(shared)), schema)
         part = part.groupBy("item_id", "item_word").agg(F.min(F.struct(-F.col("words"), "doc_id", "doc_word")).alias("m"))
         out = out.union(materialize(part.select("item_id", "item_word", "m.doc_id", "m.doc_word", (-F.col("m.col1")).alias("words")), "matches"))
         for one in shared:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.llm.text_scan import slices, strings
-from verseline.llm.tables import bound_batches
+from verseline.llm.tables import bound_batches, lean
 
 #: fixed values: WAVE format tags
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -190,7 +190,7 @@ def store_text_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 AUDIO_SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -224,7 +224,7 @@ def read_audio(stored: DataFrame, rate: int = 16000, keep_pcm: bool = False) ->
                     columns.append(pa.array([r[7] for r in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    return stored.select(*(F.col(f"`{c}`") for c in names), "media").mapInArrow(run, schema)
+    return stored.select(*(F.col(f"`{c}`") for c in names), "media").mapInArrow(lean(run), schema)
 
 
 def _rms(pcm: np.ndarray) -> float:

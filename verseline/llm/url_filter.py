@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.tables import bound_batches, fresh, materialize
+from verseline.llm.tables import bound_batches, fresh, lean, materialize
 
 #: rules of a block, and characters in them: a trie of some 150 MB at most
 MAX_RULES, MAX_CHARS = 200_000, 1 << 25
@@ -132,7 +132,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: s
     out = df.select(*keep).withColumns({"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit(default), rank: F.lit(-1)})
     for i, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(Trie(block))
-        out = out.mapInArrow(_judge(shared, url_col, rank), out.schema)
+        out = out.mapInArrow(lean(_judge(shared, url_col, rank)), out.schema)
         if i + 1 < len(blocks):
             out = materialize(out, "judged")
             shared.unpersist()
