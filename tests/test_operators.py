@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -67,6 +68,15 @@ def test_timestamps(spark):
         spark.createDataFrame([(float("nan"),)], "s double").select(timecode.centiseconds(F.col("s"))).collect()
 
 
+def test_centiseconds_are_rounded_once(spark):
+    cases = {0.565 - 0.5: 6, 0.605 - 0.5: 10, 0.705 - 0.5: 20, 0.965 - 0.5: 46, 0.06500000000000002: 7, 0.065: 7, 0.004999999999999999: 0, 0.005: 1, -0.06499999999999995: -6, 123456789.125: 12345678913}
+    got = spark.createDataFrame([(k,) for k in cases], "s double").select("s", timecode.centiseconds(F.col("s"), clamp=False).alias("c")).collect()
+    assert {r.s: r.c for r in got} == cases
+    assert cases == {s: int((Decimal(str(s)) * 100).quantize(Decimal(1), ROUND_HALF_UP)) for s in cases}
+    lines = spark.createDataFrame([("a", 0, 0.0, "x"), ("a", 1, 0.705, "y")], "track_id string, ordinal long, start_time_raw double, text string")
+    assert lrc.render(qa.prepare(lines, -500)).first().content == "[00:00.00]x\n[00:00.20]y\n"
+
+
 def test_frame_index(spark):
     got = media.frame_index(spark.createDataFrame([("/x/000001.png",), ("/x/000002.png",), ("/x/000100.png",), ("/x/a.png",)], "path string"), 4).orderBy("frame").collect()
     assert [(r.frame_number, r.time, r.time_fraction) for r in got] == [(1, 0.0, "0"), (2, 0.25, "1/4"), (100, 24.75, "99/4")]
