@@ -289,8 +289,9 @@ def index_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_tracker.lines_of(found(spark, sf_dir))
     first = F.min("start_time_raw").over(Window.partitionBy("track_id"))
-    # times count in ten-thousandths from half a second before the track's first line, rounded as given
-    scaled = lines.withColumn("base", first).withColumns({"start_time_raw": F.round((F.col("start_time_raw") - F.col("base")) / 10_000, 3), "end_time": F.round((F.col("end_time") - F.col("base")) / 10_000, 3)})
+    # times count in ten-thousandths from half a second before the track's first line, rounded as the SQL does: a tie is one of the thousandths
+    scale = lambda c: F.round((F.col(c) - F.col("base")) / 10_000 * 1000) / 1000
+    scaled = lines.withColumn("base", first).withColumns({"start_time_raw": scale("start_time_raw"), "end_time": scale("end_time")})
     return qa.prepare(scaled.withColumn("qa_flags", F.array().cast("array<string>")), offset_ms=-500)
 
 
